@@ -138,7 +138,7 @@ PREFERENCE_LINES = [
     ("Estado vivienda", "estados_vivienda", "text"),
     ("Barrios de interés", "barrios_interes", "text"),
 ]
-WELCOME_SUBJECT = "Bienvenido"
+WELCOME_SUBJECT = "Bienvenido a {brand}"
 REPORT_SUBJECT = "Informes inmobiliarios recientes - Oportunidades destacadas para ti"
 REPORT_BODY = (
     "Te adjuntamos los informes más recientes que cumplimentan tus preferencias de inversión."
