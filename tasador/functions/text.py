@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import lru_cache, reduce
 from html.entities import name2codepoint
 
@@ -110,28 +110,47 @@ def strip_accents(text: Column) -> Column:
     return F.translate(F.when(has_wide, wide).otherwise(text), source + marks, target)
 
 
-def unescape_entities(text: Column) -> Column:
-    """Decode ``&name;``, ``&#10;`` and ``&#xA;``; unknown names stay as they are."""
-    named = F.create_map(*[F.lit(x) for n, c in sorted(name2codepoint.items()) for x in (n, chr(c))])
-    named = F.map_concat(named, F.create_map(F.lit("apos"), F.lit("'")))
-    parts = F.split(text, "&")
-
-    def decode(part: Column) -> Column:
-        name = F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
-        hexa = F.when(
-            name.rlike("^#[xX]"), F.substr(name, F.lit(3))
-        ).when(name.startswith("#"), F.hex(F.substr(name, F.lit(2)).try_cast("long")))
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+@lru_cache(maxsize=1)
+def _entity_table() -> str:
+    named = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'"}
+    return "\n".join(f"{name}\t{char}" for name, char in sorted(named.items()))
+
+
+def _decode_entity(part: Column) -> Column:
+    """What follows an ampersand, with the entity it starts with (if any) decoded."""
+    named = F.str_to_map(F.lit(_entity_table()), F.lit("\n"), F.lit("\t"))
+
+    def decoded(name: Column) -> Column:
+        hexa = F.when(name.rlike("^#[xX]"), F.substr(name, F.lit(3))).when(
+            name.startswith("#"), F.hex(F.substr(name, F.lit(2)).try_cast("long"))
+        )
         code = F.conv(hexa, 16, 10).try_cast("long")
         # surrogates and numbers beyond the last code point name no character
         valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
         numeric = F.when(valid, F.decode(F.unhex(F.lpad(hexa, 8, "0")), "UTF-32"))
-        char = F.coalesce(numeric, F.try_element_at(named, name))
+        char = F.when(name.startswith("#"), numeric).otherwise(F.try_element_at(named, name))
         rest = F.substr(part, F.length(name) + F.lit(2))
-        return F.when(char.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(char, rest))
+        return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), part))
 
-    tail = F.transform(F.slice(parts, 2, F.size(parts)), decode)
-    whole = F.concat(F.element_at(parts, 1), F.array_join(tail, ""))
-    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
+    name = F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+    return bind(name, decoded)
+
+
+def unescape_entities(text: Column) -> Column:
+    """Decode ``&name;``, ``&#10;`` and ``&#xA;``; unknown names stay as they are."""
+
+    def joined(parts: Column) -> Column:
+        tail = F.transform(F.slice(parts, F.lit(2), F.size(parts)), _decode_entity)
+        return F.concat(F.element_at(parts, 1), F.array_join(tail, ""))
+
+    return bind(
+        text, lambda t: F.when(F.contains(t, F.lit("&")), bind(F.split(t, "&"), joined)).otherwise(t)
+    )
 
 
 def capitalise_words(text: Column) -> Column:

@@ -284,8 +284,8 @@ def threshold_select(spark, sf_dir):
     return opportunities(spark, sf_dir).select(
         "id",
         F.col("Precio").alias("precio"),
-        F.round("Umbral", 6).alias("umbral"),
-        F.round("Diferencia_Ponderada", 6).alias("diferencia"),
+        F.col("Umbral").alias("umbral"),
+        F.round("Diferencia_Ponderada", 2).alias("diferencia"),
     )
 
 
@@ -447,7 +447,7 @@ def price_axis(spark, sf_dir):
 def _peers(df: DataFrame, on: str) -> DataFrame:
     figures = ("peer_mean", "peer_min", "peer_max", "vs_mean_pct", "axis_lo", "axis_hi")
     return stats.compare_to_peers(df, df, [on], "eur_m2").select(
-        "id", F.col(on).alias("peer_group"), "peers", *[rounded(c) for c in figures]
+        "id", F.col(on).alias("peer_group"), "peers", *[rounded(c, 4) for c in figures]
     )
 
 
@@ -600,20 +600,20 @@ def _mean_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def trimmed_metrics(spark, sf_dir):
     found = models.trimmed_metrics(_mean_predictions(spark, sf_dir))
-    return found.select("model", "fold", "n", rounded("mse", 2), rounded("r2"))
+    return found.select("model", "fold", "n", rounded("mse", 0), rounded("r2"))
 
 
 @query
 def mean_metrics(spark, sf_dir):
     found = models.mean_metrics(models.trimmed_metrics(_mean_predictions(spark, sf_dir)))
-    return found.select("model", "folds", rounded("mse", 2), rounded("r2"))
+    return found.select("model", "folds", rounded("mse", 0), rounded("r2"))
 
 
 @query
 def best_depth(spark, sf_dir):
     """Folds stand in for depths: the one with the least mean error wins."""
     metrics = models.trimmed_metrics(_mean_predictions(spark, sf_dir))
-    return models.best_depth(metrics.withColumn("depth", F.col("fold"))).select("depth", rounded("mse", 2))
+    return models.best_depth(metrics.withColumn("depth", F.col("fold"))).select("depth", rounded("mse", 0))
 
 
 @query
