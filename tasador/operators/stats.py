@@ -13,8 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tasador.plans.joins import checked_join
-from tasador.plans.lineage import cut_lineage
+from tasador.plans.joins import checked_join, sized_join
+from tasador.plans.lineage import cut_measured
 from tasador.plans.quantiles import exact_quantiles
 
 _ALL = "_all"
@@ -86,7 +86,9 @@ def _edge(i: Column, bins: int) -> Column:
 def histogram(df: DataFrame, col: str, bins: int = 30, by: Sequence[str] = ()) -> DataFrame:
     """``(by..., bin, lo, hi, n)``: equal-width bins, the last one closed; empty bins count 0."""
     rows, key = _grouped(df, col, by)
-    spans = cut_lineage(_with_range(rows, key).select(*key, "lo", "hi"), "ranges")
+    spans, found = cut_measured(
+        _with_range(rows, key).select(*key, "lo", "hi"), "ranges", groups=F.count(F.lit(1))
+    )
     guess = F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)
     guess = F.least(guess, F.lit(bins - 1)).cast("int")
     # the division may land a value next to an edge on its wrong side
@@ -96,7 +98,7 @@ def histogram(df: DataFrame, col: str, bins: int = 30, by: Sequence[str] = ()) -
         .otherwise(F.col("_g"))
     )
     counts = (
-        checked_join(rows, spans, key, salt=["x"], written=True)
+        sized_join(rows, spans, found["groups"], key, salt=["x"])
         .withColumn("_g", guess)
         .withColumn("bin", bin_no)
         .groupBy(*key, "bin")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tasador.plans.lineage import cut_lineage
+from tasador.plans.lineage import cut_measured
 
 BROADCAST_ROWS = 200_000
 ROWS_PER_SPLIT = 1_000_000
@@ -21,17 +21,28 @@ def checked_join(
     salt: Sequence[str] = (),
     broadcast_rows: int = BROADCAST_ROWS,
     rows_per_split: int = ROWS_PER_SPLIT,
-    written: bool = False,
 ) -> DataFrame:
     """Join rows with a derived table of narrow rows (group statistics, ids, cuts).
 
     ``small`` is materialised and counted: up to ``broadcast_rows`` it is
     broadcast, so ``big`` is not shuffled at all; beyond that the join is salted.
-    ``written`` says that ``small`` has been materialised already.
     """
-    if not written:
-        small = cut_lineage(small, "lookup")
-    if small.count() <= broadcast_rows:
+    small, found = cut_measured(small, "lookup", rows=F.count(F.lit(1)))
+    return sized_join(big, small, found["rows"], on, how, salt, broadcast_rows, rows_per_split)
+
+
+def sized_join(
+    big: DataFrame,
+    small: DataFrame,
+    small_rows: int,
+    on: Sequence[str],
+    how: str = "inner",
+    salt: Sequence[str] = (),
+    broadcast_rows: int = BROADCAST_ROWS,
+    rows_per_split: int = ROWS_PER_SPLIT,
+) -> DataFrame:
+    """``checked_join`` with a table that has been materialised and counted before."""
+    if small_rows <= broadcast_rows:
         return big.join(F.broadcast(small), list(on), how)
     return salted_join(big, small, on, how, salt, broadcast_rows, rows_per_split)
 
@@ -52,8 +63,10 @@ def salted_join(
     that are not hot are neither split nor copied.
     """
     on = list(on)
-    sizes = cut_lineage(big.groupBy(*on).agg(F.count("*").alias("_rows")), "sizes")
-    total = sizes.agg(F.sum("_rows")).first()[0] or 0
+    sizes, found = cut_measured(
+        big.groupBy(*on).agg(F.count("*").alias("_rows")), "sizes", total=F.sum("_rows")
+    )
+    total = found["total"] or 0
     # at most total / limit keys can be hot, so the table below is never larger
     # than broadcast_rows
     limit = max(rows_per_split, -(-total // broadcast_rows))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,3 +38,10 @@ def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
     path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_measured(df: DataFrame, label: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """``cut_lineage`` that also returns aggregates of the rows, taken while they are written."""
+    seen = Observation()
+    written = cut_lineage(df.observe(seen, *[m.alias(name) for name, m in measures.items()]), label)
+    return written, seen.get

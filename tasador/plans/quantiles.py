@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tasador.plans.joins import checked_join
-from tasador.plans.lineage import cut_lineage
+from tasador.plans.lineage import cut_measured
 
 LEAF_ROWS = 200_000
 BINS = 1024
@@ -33,12 +33,12 @@ def exact_quantiles(
         *[F.col(c) for c in by], F.lit(0).alias("_all"), F.col(value).cast("double").alias("_x")
     ).where(F.col("_x").isNotNull())
     key = [*by, "_all"]
-    sizes = cut_lineage(
+    sizes, found = cut_measured(
         rows.groupBy(*key).agg(F.count("*").alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi")),
         "group-sizes",
+        largest=F.max("n"),
     )
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    if largest <= leaf_rows:
+    if (found["largest"] or 0) <= leaf_rows:
         wanted = F.array(*[F.lit(float(p)) for p in probs])
         return rows.groupBy(*key).agg(F.percentile("_x", wanted).alias("q")).drop("_all")
     return _by_narrowing(rows, key, sizes, probs, leaf_rows, bins).drop("_all")
@@ -59,8 +59,8 @@ def _by_narrowing(rows, key, sizes, probs, leaf_rows, bins) -> DataFrame:
     )
     open_cell = (F.col("n") > leaf_rows) & (F.col("lo") < F.col("hi"))
     while True:
-        targets = cut_lineage(targets, "ranks")
-        if targets.where(open_cell).isEmpty():
+        targets, found = cut_measured(targets, "ranks", pending=F.count_if(open_cell))
+        if not found["pending"]:
             break
         pending = targets.where(open_cell)
         counted = _cell_rows(rows, pending, key).withColumn(
