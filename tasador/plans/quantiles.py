@@ -101,9 +101,9 @@ def _by_narrowing(rows, key, sizes, probs, leaf_rows, bins) -> DataFrame:
     found = targets.join(sorted_cells, cell, "left").withColumn(
         "v", F.when(several, F.element_at("xs", position)).otherwise(F.col("lo"))
     )
-    quantile = found.groupBy(*key, "i").agg(
-        (F.min("v") + (F.max("v") - F.min("v")) * F.max(F.col("r") - F.floor("r"))).alias("v")
-    )
+    low, high = F.min("v"), F.max("v")
+    between = F.max(F.ceil("r") - F.col("r")) * low + F.max(F.col("r") - F.floor("r")) * high
+    quantile = found.groupBy(*key, "i").agg(F.when(low == high, low).otherwise(between).alias("v"))
     ordered = F.array_sort(F.collect_list(F.struct("i", "v")))
     return quantile.groupBy(*key).agg(F.transform(ordered, lambda s: s["v"]).alias("q"))
 

@@ -226,8 +226,11 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation").join(
         table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
     )
-    # one small file of orders makes one task; real pages arrive in many files
-    orders = table(spark, sf_dir, "orders").drop("o_orderdate", "o_orderstatus").repartition("o_orderkey")
+    # real pages arrive in many files, while few files of narrow orders would
+    # leave all the parsing to few tasks
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    orders = table(spark, sf_dir, "orders").drop("o_orderdate", "o_orderstatus")
+    orders = orders.repartition(tasks, "o_orderkey")
     return (
         orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))

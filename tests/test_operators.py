@@ -174,7 +174,7 @@ def test_salted_join_equals_join(spark, how):
         assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
 
 
-@pytest.mark.parametrize("limits", [{}, {"leaf_rows": 5, "bins": 4}])
+@pytest.mark.parametrize("limits", [{}, {"leaf_rows": 20, "bins": 16}])
 def test_exact_quantiles(spark, limits):
     rng = random.Random(1)
     values = {
