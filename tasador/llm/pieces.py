@@ -19,20 +19,18 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 from itertools import pairwise
 
 import ahocorasick
 import pandas as pd
 import sentencepiece
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLANK = "▁"
 REMEMBERED = 400_000
 REMEMBERED_LENGTH = 48
-SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 class _Memo(dict):
@@ -67,6 +65,7 @@ class PieceCoder:
                 self.ids[piece] = i
                 self.rank[piece] = -model.get_score(i)
                 self.surface.append(piece.replace(BLANK, " ").encode())
+        self.surface_of_text = {str(i): s for i, s in enumerate(self.surface)}
         letters = set("".join(self.ids))
         if any(BLANK in piece.lstrip(BLANK) for piece in self.ids):
             raise ValueError("pieces with a blank inside cannot be cut at blanks")
@@ -176,34 +175,43 @@ def coder(path: str) -> PieceCoder:
     return PieceCoder(path)
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, ids array<int>) of every text."""
+def ids_column(path: str, text: Column) -> Column:
+    """The ids of a text column, array<int>."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("array<int>")
+    def ids(texts: pd.Series) -> pd.Series:
         pieces = coder(path)
-        for batch in batches:
-            yield pd.DataFrame({id_col: batch["_id"], "ids": [pieces.encode(t) for t in batch["_text"]]})
+        return pd.Series([pieces.encode(t) for t in texts], dtype=object)
 
-    source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    return source.mapInPandas(run, f"`{id_col}` long, ids array<int>")
+    return ids(text)
+
+
+def text_column(path: str, ids: Column) -> Column:
+    """The text that an ids column stands for; null ids give an empty text."""
+
+    @F.pandas_udf("string")
+    def texts(series: pd.Series) -> pd.Series:
+        pieces = coder(path)
+        return pd.Series(["" if i is None else pieces.decode(i) for i in series], dtype=object)
+
+    return texts(ids)
 
 
 def digest_documents(docs: DataFrame, path: str) -> DataFrame:
     """Per document: number of ids, SHA-256 of the ids and of the text decoded from them."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digest(texts: pd.Series) -> pd.DataFrame:
         pieces = coder(path)
-        surface = {str(i): s for i, s in enumerate(pieces.surface)}.__getitem__
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["_id"], batch["_text"], strict=True):
-                written = pieces.encode_text(text)
-                ids = written.split(" ")
-                decoded = b"".join(map(surface, ids))
-                decoded = decoded[1:] if decoded[:1] == b" " else decoded
-                sums = (hashlib.sha256(x).hexdigest() for x in (written.encode(), decoded))
-                rows.append((doc_id, len(ids), *sums))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    source = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"))
-    return source.mapInPandas(run, SCHEMA)
+        surface = pieces.surface_of_text.__getitem__
+        rows = []
+        for text in texts:
+            written = pieces.encode_text(text)
+            ids = written.split(" ")
+            decoded = b"".join(map(surface, ids))
+            decoded = decoded[1:] if decoded[:1] == b" " else decoded
+            rows.append((len(ids), *(hashlib.sha256(x).hexdigest() for x in (written.encode(), decoded))))
+        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("_digest"))
+    return found.select("doc_id", "_digest.*")

@@ -13,8 +13,9 @@ _STEP = np.uint64(0xD1342543DE82EF95)
 _lower = np.arange(256, dtype=np.uint8)
 _lower[ord("A") : ord("Z") + 1] += 32
 _VALUES = _LETTERS[_lower]
-_IS_SPACE = np.zeros(256, dtype=bool)
-_IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_WORD = np.ones(256, np.uint8)
+_WORD[[0x20, *range(0x09, 0x0E)]] = 0
+_TOKEN = np.array([1 if c >= 0x80 or chr(c).isalnum() else 2 if 0x20 < c < 0x7F else 0 for c in range(256)], np.uint8)
 
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
@@ -37,21 +38,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """One 64-bit hash per word, in order: A-Z lower-cased, words split at blanks and \\t to \\r."""
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+def _run_hashes(raw: np.ndarray, values: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """One hash per longest run of bytes of one kind; kind 0 separates."""
     if not len(raw):
         return np.empty(0, np.uint64)
-    space = _IS_SPACE[raw]
-    edges = np.diff(np.concatenate(([True], space, [True])).astype(np.int8))
-    starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
-    if not len(starts):
-        return np.empty(0, np.uint64)
+    kind = kinds[raw]
+    turns = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+    starts = np.concatenate(([0], turns))
+    ends = np.concatenate((turns, [len(raw)]))
+    used = kind[starts] != 0
+    starts, ends = starts[used], ends[used]
     up, down = _power(len(raw))
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_VALUES[raw] * up[: len(raw)], dtype=np.uint64)))
+    total = np.empty(len(raw) + 1, np.uint64)
+    total[0] = 0
+    np.cumsum(values[raw] * up[: len(raw)], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts])
 
 
+def word_hashes(text: str) -> np.ndarray:
+    """One 64-bit hash per word, in order: A-Z lower-cased, words split at blanks and \\t to \\r."""
+    return _run_hashes(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), _VALUES, _WORD)
+
+
+def token_hashes(text: str) -> np.ndarray:
+    """One 64-bit hash per run of letters and digits and per run of ASCII marks; case counts."""
+    return _run_hashes(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), _LETTERS, _TOKEN)
+
+
 def shingles(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct hashes of runs of ``size`` words; fewer words count as one run; none without words."""
     words = word_hashes(text) if text else np.empty(0, np.uint64)
