@@ -7,13 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tasador.llm import langid, packing, pieces, quality
+from tasador.llm import kmeans_tree, langid, packing, pieces, quality, sitestyle, vafile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return sitestyle.main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merge encoding of every text: ids and decoded text as digests."""
     path = public_tokenizers.path("piece_bpe_32k.model")
@@ -25,6 +30,16 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth one."""
+    return kmeans_tree.nearest(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
+def op6_vafile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty largest inner products of every twentieth vector."""
+    return vafile.top_products(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
     return langid.identify(table(spark, sf_dir, "documents"))
@@ -36,10 +51,32 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_main_text": op1_main_text,
     "op2_pieces": op2_pieces,
     "op3_packing": op3_packing,
+    "op4_kmeans_tree": op4_kmeans_tree,
+    "op6_vafile": op6_vafile,
     "op8_language": op8_language,
     "op9_quality": op9_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_vafile": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0
+                AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(
+                CAST(q.e AS DOUBLE[]), CAST(v.e AS DOUBLE[])) AS BIGINT) AS score
+            FROM v q JOIN v ON q.vec_id <> v.vec_id
+            WHERE q.vec_id % 20 = 0
+        ), ranked AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank,
+                vec_id, score
+            FROM scored
+        )
+        SELECT * FROM ranked WHERE rank <= 20
+    """,
+}
