@@ -39,7 +39,7 @@ from tasador.plans.lineage import cut_lineage, cut_measured
 MOST = 2048
 END_ID = 0
 PER_SALT = 1_000
-REMEMBERED = 400_000
+REMEMBERED = 120_000
 FIT_STEPS = 400
 
 
