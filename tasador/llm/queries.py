@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tasador.llm import kmeans_tree, langid, packing, pieces, quality, sitestyle, vafile
+from tasador.llm import kmeans_tree, langid, minhash, packing, pieces, quality, sitestyle, vafile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op4_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans_tree.nearest(table(spark, sf_dir, "embeddings"), k=10, every=100)
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_vafile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty largest inner products of every twentieth vector."""
     return vafile.top_products(table(spark, sf_dir, "embeddings"), k=20, every=20)
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pieces": op2_pieces,
     "op3_packing": op3_packing,
     "op4_kmeans_tree": op4_kmeans_tree,
+    "op5_minhash": op5_minhash,
     "op6_vafile": op6_vafile,
     "op8_language": op8_language,
     "op9_quality": op9_quality,
