@@ -1,12 +1,52 @@
-"""Documents through the training-data operators, stage by stage."""
+"""Documents through the training-data operators, stage by stage.
+
+Every stage gets the written result of the stage before and returns the columns
+of ``documents``; the last returns the packed pieces.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tasador.llm import linededup, minhash, packing, quality, secrets
 from tasador.plans.lineage import cut_lineage
 
-STAGES: list = []
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat earlier ones go, and documents that have no other lines."""
+    return linededup.without_repeats(docs)
+
+
+def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return minhash.without_copies(docs)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Found secrets are masked."""
+    return secrets.without_secrets(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are packed into sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("line dedup", line_stage),
+    ("MinHash near-dedup", copies_stage),
+    ("secret scans", secrets_stage),
+    ("best-fit packing", packing_stage),
+]
+
+# a fitted network and forest decide what goes on, which SQL cannot express
 ORACLE_SQL = None
 
 

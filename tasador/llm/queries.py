@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tasador.llm import kmeans_tree, langid, minhash, packing, pieces, quality, sitestyle, vafile
+from tasador.llm import kmeans_tree, langid, linededup, minhash, packing, pieces, quality, secrets, sitestyle, vafile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,16 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secrets.scan_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without lines that repeat earlier ones."""
+    return linededup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
     "op2_pieces": op2_pieces,
@@ -62,8 +72,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_kmeans_tree": op4_kmeans_tree,
     "op5_minhash": op5_minhash,
     "op6_vafile": op6_vafile,
+    "op7_secrets": op7_secrets,
     "op8_language": op8_language,
     "op9_quality": op9_quality,
+    "op10_lines": op10_lines,
 }
 
 ORACLES: dict[str, str] = {
@@ -85,4 +97,35 @@ ORACLES: dict[str, str] = {
         )
         SELECT * FROM ranked WHERE rank <= 20
     """,
+    "op10_lines": """
+        WITH raw AS (
+            SELECT doc_id, text, CAST(unnest(range(len(l))) AS BIGINT) AS n, unnest(l) AS raw
+            FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
+        ), lines AS (SELECT doc_id, n, raw, trim(raw, ' ') AS line FROM raw),
+        firsts AS (
+            SELECT line, min(struct_pack(d := doc_id, n := n)) AS place FROM lines WHERE line <> '' GROUP BY line
+        ), variants AS (
+            SELECT line, place, i, hash(line[1:i - 1] || line[i + 1:]) AS v
+            FROM (SELECT line, place, unnest(range(1, length(line) + 1)) AS i FROM firsts WHERE length(line) >= 32)
+            UNION ALL SELECT line, place, 0, hash(line) FROM firsts WHERE length(line) >= 32
+        ), replaced AS (SELECT v, i, min(place) AS earliest FROM variants WHERE i > 0 GROUP BY v, i),
+        whole AS (SELECT v, min(place) AS earliest FROM variants WHERE i = 0 GROUP BY v),
+        longer AS (SELECT v, min(place) AS earliest FROM variants WHERE i > 0 GROUP BY v),
+        near AS (
+            SELECT line FROM variants JOIN replaced USING (v, i) WHERE earliest < place
+            UNION SELECT line FROM variants JOIN whole USING (v) WHERE i > 0 AND earliest < place
+            UNION SELECT line FROM variants JOIN longer USING (v) WHERE i = 0 AND earliest < place
+        ), told AS (
+            SELECT l.doc_id, l.n, l.raw, l.line, l.line <> '' AND (
+                l.line IN (SELECT line FROM near) OR f.place <> struct_pack(d := l.doc_id, n := l.n)) AS dropped
+            FROM lines l LEFT JOIN firsts f USING (line)
+        ), per_doc AS (
+            SELECT doc_id, count(*) FILTER (line <> '') AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+                coalesce(string_agg(raw, chr(10) ORDER BY n) FILTER (NOT dropped), '') AS text
+            FROM told GROUP BY doc_id
+        )
+        SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines,
+            CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped, p.text
+        FROM documents d LEFT JOIN per_doc p USING (doc_id)
+    """,
 }
