@@ -5,8 +5,9 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable, Iterable, Sequence
 from functools import lru_cache, reduce
-from html.entities import name2codepoint
+from html.entities import html5
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,37 +78,20 @@ def parse_id_list(text: Column) -> Column:
     return F.from_json(text, "array<bigint>")
 
 
-@lru_cache(maxsize=1)
-def _accent_tables() -> tuple[str, str, str, list[tuple[str, str]]]:
-    """Translation tables worked out from Unicode's own decompositions."""
-    single_from, single_to, marks, several = [], [], [], []
-    for code in range(0x80, 0xFFFE):
-        if 0xAC00 <= code <= 0xDFFF:  # Hangul syllables, surrogates
-            continue
-        char = chr(code)
-        if unicodedata.combining(char):
-            marks.append(char)
-            continue
-        plain = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
-        if plain == char:
-            continue
-        if len(plain) == 1:
-            single_from.append(char)
-            single_to.append(plain)
-        elif code <= 0x24F or 0xFB00 <= code <= 0xFB06:
-            several.append((char, plain))
-    return "".join(single_from), "".join(single_to), "".join(marks), several
-
-
 def strip_accents(text: Column) -> Column:
     """Base letters only: compatibility forms resolved, combining marks removed.
 
-    Forms that resolve to several letters are handled for the Latin blocks.
+    ASCII text is not handed to Python: it cannot change.
     """
-    source, target, marks, several = _accent_tables()
-    wide = reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), several, text)
-    has_wide = text.rlike("[" + "".join(p[0] for p in several) + "]")
-    return F.translate(F.when(has_wide, wide).otherwise(text), source + marks, target)
+
+    @F.pandas_udf("string")
+    def plain(texts: pd.Series) -> pd.Series:
+        return texts.map(
+            lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)),
+            na_action="ignore",
+        )
+
+    return F.coalesce(plain(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -117,27 +101,26 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
 
 @lru_cache(maxsize=1)
 def _entity_table() -> str:
-    named = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'"}
-    return "\n".join(f"{name}\t{char}" for name, char in sorted(named.items()))
+    return "\x02".join(f"{name[:-1]}\x01{chars}" for name, chars in sorted(html5.items()) if name.endswith(";"))
 
 
 def _decode_entity(part: Column) -> Column:
     """What follows an ampersand, with the entity it starts with (if any) decoded."""
-    named = F.str_to_map(F.lit(_entity_table()), F.lit("\n"), F.lit("\t"))
+    named = F.str_to_map(F.lit(_entity_table()), F.lit("\x02"), F.lit("\x01"))
 
     def decoded(name: Column) -> Column:
-        hexa = F.when(name.rlike("^#[xX]"), F.substr(name, F.lit(3))).when(
-            name.startswith("#"), F.hex(F.substr(name, F.lit(2)).try_cast("long"))
-        )
-        code = F.conv(hexa, 16, 10).try_cast("long")
+        digits = F.regexp_replace(name, "^#[xX]?0*", "")
+        code = F.when(
+            name.rlike("^#[xX]"), F.when(F.length(digits) <= 8, F.conv(digits, 16, 10).try_cast("long"))
+        ).otherwise(digits.try_cast("long"))
         # surrogates and numbers beyond the last code point name no character
         valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-        numeric = F.when(valid, F.decode(F.unhex(F.lpad(hexa, 8, "0")), "UTF-32"))
+        numeric = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
         char = F.when(name.startswith("#"), numeric).otherwise(F.try_element_at(named, name))
         rest = F.substr(part, F.length(name) + F.lit(2))
         return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), part))
 
-    name = F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+    name = F.regexp_extract(part, r"^(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);", 1)
     return bind(name, decoded)
 
 

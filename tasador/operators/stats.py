@@ -10,13 +10,15 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tasador.plans.blocks import positions
 from tasador.plans.joins import checked_join, sized_join
-from tasador.plans.lineage import cut_measured
+from tasador.plans.lineage import cut_lineage, cut_measured
 from tasador.plans.quantiles import exact_quantiles
 
+STRETCH = 10_000
 _ALL = "_all"
 
 
@@ -60,9 +62,16 @@ def quantile_limits(
 def value_share(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     """Percentage of each value within its group; missing values do not count."""
     counts = df.dropna(subset=[col, *by]).groupBy(*by, col).agg(F.count("*").alias("n"))
-    # one row per group and value is left here, not one per listing
-    total = F.sum("n").over(Window.partitionBy(*(by or [F.lit(0)])))
-    return counts.withColumn("pct", F.col("n") * 100.0 / total)
+    counts = cut_lineage(counts.withColumn(_ALL, F.lit(0)), "counts")
+    totals = counts.groupBy(*by, _ALL).agg(F.sum("n").alias("_total"))
+    shares = checked_join(counts, totals, [*by, _ALL], salt=[col])
+    return shares.withColumn("pct", F.col("n") * 100.0 / F.col("_total")).drop("_total", _ALL)
+
+
+def rank_values(shares: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
+    """Add ``rank``: the place of each value by falling count, ties by value, from 1 in each group."""
+    ranked = positions(shares.withColumn("_less", -F.col("n")), by, ["_less", col], "rank")
+    return ranked.withColumn("rank", F.col("rank") + 1).drop("_less")
 
 
 def _with_range(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -86,8 +95,9 @@ def _edge(i: Column, bins: int) -> Column:
 def histogram(df: DataFrame, col: str, bins: int = 30, by: Sequence[str] = ()) -> DataFrame:
     """``(by..., bin, lo, hi, n)``: equal-width bins, the last one closed; empty bins count 0."""
     rows, key = _grouped(df, col, by)
+    rows = cut_lineage(rows, "values")
     spans, found = cut_measured(
-        _with_range(rows, key).select(*key, "lo", "hi"), "ranges", groups=F.count(F.lit(1))
+        _with_range(rows, key).select(*key, "lo", "hi"), "ranges", rows=F.count(F.lit(1))
     )
     guess = F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)
     guess = F.least(guess, F.lit(bins - 1)).cast("int")
@@ -98,7 +108,7 @@ def histogram(df: DataFrame, col: str, bins: int = 30, by: Sequence[str] = ()) -
         .otherwise(F.col("_g"))
     )
     counts = (
-        sized_join(rows, spans, found["groups"], key, salt=["x"])
+        sized_join(rows, spans, found, key, salt=["x"])
         .withColumn("_g", guess)
         .withColumn("bin", bin_no)
         .groupBy(*key, "bin")
@@ -118,11 +128,19 @@ def histogram(df: DataFrame, col: str, bins: int = 30, by: Sequence[str] = ()) -
 
 
 def int_histogram(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
-    """``(by..., value, n)``: one bin per whole number from least to greatest, gaps count 0."""
+    """``(by..., value, n)``: one bin per whole number from least to greatest, gaps count 0.
+
+    The numbers are made in stretches of ``STRETCH``, so a far-off value makes many rows but no
+    long array.
+    """
     rows, key = _grouped(df, col, by)
     counts = rows.groupBy(*key, F.floor("x").alias("value")).agg(F.count("*").alias("n"))
+    counts = cut_lineage(counts, "counts")
     span = counts.groupBy(*key).agg(F.min("value").alias("a"), F.max("value").alias("b"))
-    every = span.select(*key, F.explode(F.sequence("a", "b")).alias("value"))
+    first, last = F.floor(F.col("a") / STRETCH), F.floor(F.col("b") / STRETCH)
+    part = span.select(*key, "a", "b", F.explode(F.sequence(first, last)).alias("part"))
+    start, end = F.col("part") * STRETCH, F.col("part") * STRETCH + (STRETCH - 1)
+    every = part.select(*key, F.explode(F.sequence(F.greatest("a", start), F.least("b", end))).alias("value"))
     return (
         every.join(counts, [*key, "value"], "left")
         .select(*by, "value", F.coalesce("n", F.lit(0)).alias("n"))
@@ -140,13 +158,19 @@ def kde(
     shuffle. Groups without spread have no density and no rows.
     """
     rows, key = _grouped(df, col, by)
+    # equal values enter a point once, with their number
+    rows = cut_lineage(rows.groupBy(*key, "x").agg(F.count("*").alias("times")), "values")
+    times, x = F.col("times"), F.col("x")
+    mean = F.sum(x * times) / F.sum(times)
+    means = rows.groupBy(*key).agg(mean.alias("mean"))
     spans = (
-        rows.groupBy(*key)
+        checked_join(rows, means, key, salt=["x"])
+        .groupBy(*key)
         .agg(
-            F.count("*").alias("total"),
+            F.sum(times).alias("total"),
             F.min("x").alias("lo"),
             F.max("x").alias("hi"),
-            F.stddev_samp("x").alias("sd"),
+            F.sqrt(F.try_divide(F.sum(times * F.pow(x - F.col("mean"), 2)), F.sum(times) - 1)).alias("sd"),
         )
         .where(F.col("sd") > 0)
         .withColumn("h", F.col("sd") * F.pow(F.col("total"), F.lit(-0.2)))
@@ -159,7 +183,7 @@ def kde(
         .withColumn("point", point)
         .groupBy(*key, "point")
         .agg(
-            F.sum(F.exp(-0.5 * z * z)).alias("s"),
+            F.sum(times * F.exp(-0.5 * z * z)).alias("s"),
             *[F.first(c).alias(c) for c in ("total", "lo", "hi", "h")],
         )
     )
@@ -191,10 +215,11 @@ def _fences(df: DataFrame, col: str, by: Sequence[str]) -> DataFrame:
 def box_stats(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     """Quartiles, whiskers (furthest values within 1.5 box lengths) and outlier counts."""
     rows, key = _grouped(df, col, by)
+    rows = cut_lineage(rows, "values")
     box = ["q1", "median", "q3"]
     x = F.col("x")
     inside = x.between(F.col("fence_lo"), F.col("fence_hi"))
-    joined = checked_join(rows, _fences(df, col, by), key, salt=["x"])
+    joined = checked_join(rows, _fences(rows, "x", by), key, salt=["x"])
     stats = joined.groupBy(*key).agg(
         F.count("*").alias("n"),
         *[F.first(c).alias(c) for c in box],
@@ -215,8 +240,9 @@ def box_stats(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
 
 def box_outliers(df: DataFrame, col: str, by: Sequence[str] = (), keep: Sequence[str] = ("id",)) -> DataFrame:
     """The rows beyond the whiskers."""
-    fences = _fences(df, col, by)
-    rows = df.dropna(subset=[col, *by]).withColumn(_ALL, F.lit(0))
+    rows = df.dropna(subset=[col, *by]).select(*dict.fromkeys([*keep, *by, col])).withColumn(_ALL, F.lit(0))
+    rows = cut_lineage(rows, "values")
+    fences = _fences(rows, col, by)
     joined = checked_join(rows, fences, [*by, _ALL], salt=list(keep))
     x = F.col(col).cast("double")
     return joined.where(~x.between(F.col("fence_lo"), F.col("fence_hi"))).select(*keep, *by, col)

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
+_owned: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
@@ -25,7 +29,43 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path under the shared folder that nothing has used before."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if _owned:
+        _owned[-1].append(path)
+    return path
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it knows it."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    files, found = _files(spark, path)
+    return files.exists(found)
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    files, found = _files(spark, path)
+    return files.getContentSummary(found).getLength()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Own the intermediate tables written inside, and remove them at the end.
+
+    Results must be written out inside: a lazy result would find its inputs gone.
+    """
+    own: list[str] = []
+    _owned.append(own)
+    try:
+        yield
+    finally:
+        _owned.remove(own)
+        for path in own:
+            files, found = _files(spark, path)
+            files.delete(found, True)
 
 
 def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
@@ -41,7 +81,13 @@ def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
 
 
 def cut_measured(df: DataFrame, label: str, **measures: Column) -> tuple[DataFrame, dict]:
-    """``cut_lineage`` that also returns aggregates of the rows, taken while they are written."""
+    """``cut_lineage`` that also returns aggregates of the rows, taken while they are written.
+
+    The size of the written table is added as ``bytes``.
+    """
     seen = Observation()
-    written = cut_lineage(df.observe(seen, *[m.alias(name) for name, m in measures.items()]), label)
-    return written, seen.get
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
+    df.observe(seen, *[m.alias(name) for name, m in measures.items()]).write.parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    return written, {**seen.get, "bytes": stored_bytes(spark, path)}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tasador.functions import money
-from tasador.functions.text import strip_accents
+from tasador.functions.text import parse_id_list, strip_accents
 from tasador.operators import features, incremental, matching, models, pages, reports, selection, stats
 from tasador.plans.joins import checked_join
 from tasador.plans.lineage import cut_lineage, fresh_path
@@ -307,13 +308,16 @@ def _reported(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def clients_per_listing(spark, sf_dir):
-    found = matching.collect_clients(_reported(spark, sf_dir), part_rows=512)
+    """Every opportunity with the clients who want it, also those nobody wants."""
+    chosen = cut_lineage(opportunities(spark, sf_dir), "chosen")
+    matches = matching.match_preferences(chosen, views.clients(spark, sf_dir))
+    found = matching.collect_clients(matches, chosen)
     return found.select("listing_id", "part", text_list("clients"), "n")
 
 
 @query
 def reports_per_client(spark, sf_dir):
-    found = matching.reports_per_client(_reported(spark, sf_dir), part_rows=4096)
+    found = matching.reports_per_client(_reported(spark, sf_dir))
     return found.select("client_id", "part", text_list("listings"), "n")
 
 
@@ -324,6 +328,40 @@ def interested_counts(spark, sf_dir):
     return matching.interested(chosen, matches).select("id", "n_clientes")
 
 
+def _new_opportunities(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """New listings of a run (known are those met before), and the under-priced among them."""
+    df = cut_lineage(views.listings(spark, sf_dir), "listings")
+    fresh = incremental.new_ids(df, df.where(F.col("id") % 10 != 0))
+    arrived = cut_lineage(incremental.keep_ids(scored(df, area_rates(df)), fresh), "arrived")
+    return arrived, cut_lineage(selection.select_opportunities(with_margin(arrived)), "chosen")
+
+
+@query
+def daily_run(spark, sf_dir):
+    """New listings only: scored, selected, matched, listed with their clients, ready for review."""
+    _, chosen = _new_opportunities(spark, sf_dir)
+    matches = matching.match_preferences(chosen, views.clients(spark, sf_dir))
+    lists = matching.collect_clients(matches, chosen).withColumnRenamed("listing_id", "id")
+    sheet = reports.for_review(chosen, views.URL_BASE).join(lists, "id")
+    return sheet.select(
+        "id",
+        F.round("Diferencia_Ponderada", 2).alias("diferencia"),
+        "part",
+        text_list("clients"),
+        "n",
+        F.col("Seleccionado").alias("seleccionado"),
+        F.col("Enlace").alias("enlace"),
+    )
+
+
+@query
+def run_counts(spark, sf_dir):
+    """How many listings a run found, kept and matched."""
+    arrived, chosen = _new_opportunities(spark, sf_dir)
+    matches = matching.match_preferences(chosen, views.clients(spark, sf_dir))
+    return reports.run_counts("daily", arrived, chosen, matches)
+
+
 # ----------------------------------------------------------------- comparisons
 
 
@@ -335,6 +373,19 @@ def condition_share(spark, sf_dir):
     )
 
 
+@query
+def condition_rank(spark, sf_dir):
+    """Conditions by falling count, per location and for all."""
+    df = views.listings(spark, sf_dir)
+    shares = stats.value_share(df, "estado_vivienda", ["Localizacion"])
+    local = stats.rank_values(shares, "estado_vivienda", ["Localizacion"])
+    overall = stats.rank_values(stats.value_share(df, "estado_vivienda"), "estado_vivienda")
+    overall = overall.withColumn("Localizacion", F.lit("*"))
+    return local.unionByName(overall).select(
+        F.col("Localizacion").alias("localizacion"), "estado_vivienda", "n", F.col("rank").cast("long").alias("rank")
+    )
+
+
 @query
 def condition_marked(spark, sf_dir):
     df = views.listings(spark, sf_dir)
@@ -529,6 +580,21 @@ def report_attachments(spark, sf_dir):
     return outbox.read_outbox(spark, path, attached)
 
 
+@query
+def outbox_two_runs(spark, sf_dir):
+    """Two runs and a replay of the second: one mail per client and run."""
+    chosen = cut_lineage(opportunities(spark, sf_dir), "chosen")
+    people = views.clients(spark, sf_dir)
+    matches = cut_lineage(matching.match_preferences(chosen, people), "matches")
+    path = fresh_path(spark, "outbox")
+    for run, part in (("monday", 0), ("tuesday", 1), ("tuesday", 1)):
+        ready = chosen.where(F.col("id") % 2 == part).select(F.col("id").alias("listing_id"))
+        mails, _ = reports.report_messages(people, matches, ready, BRAND, run)
+        like = cut_lineage(mails, "mails")
+        outbox.write_outbox(like, path, outbox.KEYS["messages"])
+    return outbox.read_outbox(spark, path, like).select("client_id", "kind", "run", "n_reports")
+
+
 @query
 def review_sheet(spark, sf_dir):
     sheet = reports.for_review(opportunities(spark, sf_dir), views.URL_BASE)
@@ -570,6 +636,49 @@ def csv_roundtrip(spark, sf_dir):
     )
 
 
+@query
+def raw_roundtrip(spark, sf_dir):
+    """Raw listings through UTF-16 text with quoted separators."""
+    raw = views.feature_text(views.table(spark, sf_dir, "part")).select(
+        "id",
+        "Titulo",
+        F.lit("Centro; norte").alias("Localizacion"),
+        (F.col("id") * 1000).alias("Precio"),
+        "Caracteristicas_basicas",
+        "Caracteristicas_extra",
+    )
+    path = fresh_path(spark, "raw")
+    raw.write.options(header=True, sep=";", encoding="UTF-16", escape='"').csv(path)
+    back = files.read_raw_listings(spark, path)
+    return back.select(
+        "id",
+        F.col("Localizacion").alias("localizacion"),
+        F.col("Precio").cast("long").alias("precio"),
+        F.coalesce(F.length("Caracteristicas_basicas"), F.lit(0)).alias("basicas"),
+    )
+
+
+@query
+def clients_roundtrip(spark, sf_dir):
+    """Clients through ``;``-separated text, list columns read as arrays."""
+    path = fresh_path(spark, "clients")
+    views.clients(spark, sf_dir).write.options(header=True, sep=";", encoding="UTF-8", escape='"').csv(path)
+    back = files.read_clients(spark, path)
+    return back.select(
+        "id", "precio_min", "exterior", *[text_list(c) for c in ("extras", "estados_vivienda", "barrios_interes")]
+    )
+
+
+@query
+def matches_roundtrip(spark, sf_dir):
+    """Matches with their client lists written and read, and the lists as text and back."""
+    lists = matching.collect_clients(_reported(spark, sf_dir))
+    path = fresh_path(spark, "matches")
+    files.write_matches(lists, path)
+    back = spark.read.parquet(path).withColumn("clients", parse_id_list(F.to_json("clients")))
+    return back.select("listing_id", text_list("clients"))
+
+
 @query
 def known_ids_append(spark, sf_dir):
     """Ids of parsed pages recorded twice; failed pages stay unknown."""
@@ -642,66 +751,97 @@ def train_test_folds(spark, sf_dir):
 
 
 def _training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut_lineage(views.listings(spark, sf_dir), "training")
+    """Listings with a price that their features explain; the given order totals follow from none of them."""
+    price = F.coalesce("m2_construidos", F.lit(50.0)) * 1500 + F.col("Exterior") * 20000 + 30000
+    return cut_lineage(views.listings(spark, sf_dir).withColumn("Precio", price), "training")
+
 
+# few candidates and few trees, but a search with something to choose from
+SMALL_GRIDS = {
+    "forest": {"numTrees": [10, 20], "featureSubsetStrategy": ["all"]},
+    "bagging": {"numTrees": [10], "subsamplingRate": [0.5, 0.7], "featureSubsetStrategy": ["0.7"]},
+    "boosting": {"maxIter": [5, 10], "maxDepth": [3], "stepSize": [0.1]},
+    "kernel": {"gamma": [0.005, 0.02], "penalty": [100.0]},
+}
+SMALL_FIXED = {"forest": {"maxDepth": 6}, "bagging": {"maxDepth": 6}, "kernel": {"components": 64}, "boosting": {}}
 
-def _scores(spark: SparkSession, sf_dir: str, preset: str, params: dict) -> DataFrame:
+
+def _trained(spark: SparkSession, sf_dir: str, presets: list[str]) -> tuple[DataFrame, dict, DataFrame]:
     df = _training_set(spark, sf_dir)
-    train, _ = models.split_train_test(models.prepare_training(df, preset))
-    fitted = models.fit(train, preset, params)
-    out = models.score_listings(df, {preset: fitted.model}, {preset: 1.0})
-    return out.select("id", "estimate", F.col("Diferencia_Ponderada").alias("diferencia"))
+    fitted, tested = {}, []
+    for preset in presets:
+        fitted[preset], metrics = models.train_model(df, preset, SMALL_GRIDS[preset], SMALL_FIXED[preset])
+        tested.append(cut_lineage(metrics, "tested"))
+    return df, fitted, reduce(DataFrame.unionByName, tested)
+
+
+def _scores(spark: SparkSession, sf_dir: str, preset: str) -> DataFrame:
+    """One model searched, refitted, tested and applied: what must hold of it, in one row.
+
+    The chosen candidate is one of those drawn, the trimmed test rows are told
+    better than by their mean, and every difference is estimate minus price.
+    """
+    df, fitted, tested = _trained(spark, sf_dir, [preset])
+    chosen = fitted[preset].params
+    drawn = models.draw_params(SMALL_GRIDS[preset], 10)
+    among = any(all(chosen[k] == v for k, v in c.items()) for c in drawn)
+    out = models.score_listings(df, fitted, {preset: 1.0})
+    off = F.abs(F.col("Diferencia_Ponderada") - (F.col("estimate") - F.col("Precio"))) > 1e-6
+    found = out.agg(
+        F.count("*").alias("listings"), F.count("estimate").alias("estimates"), F.count_if(off).alias("off")
+    )
+    better = tested.select(F.lit(preset).alias("model"), (F.col("r2") > 0).alias("better"))
+    return found.join(better).select("model", "listings", "estimates", "off", "better", F.lit(among).alias("drawn"))
 
 
 @query
 def forest_scores(spark, sf_dir):
-    return _scores(spark, sf_dir, "forest", {"numTrees": 20, "maxDepth": 6})
+    return _scores(spark, sf_dir, "forest")
 
 
 @query
 def bagging_scores(spark, sf_dir):
-    params = {"numTrees": 20, "maxDepth": 6, "subsamplingRate": 0.7, "featureSubsetStrategy": "0.7"}
-    return _scores(spark, sf_dir, "bagging", params)
+    return _scores(spark, sf_dir, "bagging")
 
 
 @query
 def boosting_scores(spark, sf_dir):
-    return _scores(spark, sf_dir, "boosting", {"maxIter": 10, "maxDepth": 3, "stepSize": 0.1})
+    return _scores(spark, sf_dir, "boosting")
 
 
 @query
 def kernel_scores(spark, sf_dir):
-    return _scores(spark, sf_dir, "kernel", {"gamma": 0.02, "penalty": 10.0, "components": 64})
+    return _scores(spark, sf_dir, "kernel")
 
 
 @query
 def weighted_scores(spark, sf_dir):
-    """Two models trained, tested, weighted by trimmed error, and applied to all listings."""
-    df = _training_set(spark, sf_dir)
-    small = {
-        "boosting": {"maxIter": [5], "maxDepth": [3], "stepSize": [0.1]},
-        "forest": {"numTrees": [10], "featureSubsetStrategy": ["all"]},
-    }
-    fitted, metrics = {}, None
-    for preset, grid in small.items():
-        fixed = {"maxDepth": 5} if preset == "forest" else {}
-        model, tested = models.train_model(df, preset, grid, fixed)
-        fitted[preset] = model.model
-        metrics = tested if metrics is None else metrics.unionByName(tested)
-    out = models.score_listings(df, fitted, models.weights_from(metrics))
+    """Four models trained, tested, weighted by trimmed error, and applied: which listings get which values.
+
+    The estimate lies between the values of the models.
+    """
+    df, fitted, tested = _trained(spark, sf_dir, list(SMALL_GRIDS))
+    out = models.score_listings(df, fitted, models.weights_from(tested))
+    values = [F.col(f"pred_{n}") for n in fitted]
+    inside = F.col("estimate").between(F.least(*values) - 1e-6, F.greatest(*values) + 1e-6)
     return out.select(
-        "id", "pred_boosting", "pred_forest", "estimate", F.col("Diferencia_Ponderada").alias("diferencia")
+        "id",
+        *[F.col(f"pred_{n}").isNotNull().alias(n) for n in fitted],
+        F.coalesce(inside, F.lit(False)).alias("inside"),
+        (F.abs(F.col("Diferencia_Ponderada") - F.col("estimate") + F.col("Precio")) < 1e-6).alias("difference"),
     )
 
 
 @query
 def depth_metrics(spark, sf_dir):
-    """Trimmed error per forest depth and fold."""
+    """Trimmed error of three forest depths over five folds: folds and depths complete, every row told once."""
     train, _ = models.split_train_test(models.prepare_training(_training_set(spark, sf_dir)))
-    parts = [
-        models.out_of_fold(train, "forest", {"numTrees": 5, "maxDepth": d}, folds=2, label=str(d)) for d in (3, 5)
-    ]
-    return models.trimmed_metrics(parts[0].unionByName(parts[1]))
+    told = cut_lineage(models.depth_predictions(train, (3, 5, 7), folds=5, trees=5), "told")
+    rows = told.groupBy("model", "fold").agg(
+        F.count("*").alias("told"), F.countDistinct("id").alias("ids"), F.count("y_hat").alias("values")
+    )
+    scored = models.trimmed_metrics(told).select("model", "fold", (F.col("n") <= F.lit(1e18)).alias("scored"))
+    return rows.join(scored, ["model", "fold"]).select("model", "fold", "told", "ids", "values", "scored")
 
 
 # --------------------------------------------------------------------- streams
@@ -724,14 +864,14 @@ def stream_new_ids(spark, sf_dir):
 
 @query
 def stream_unique(spark, sf_dir):
-    """Ids that come up within a month of each other are one."""
-    arriving = _stream(spark, sf_dir, "events").select(
-        F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("captured_at")
-    )
-    unique = jobs.unique_within(arriving, "captured_at", delay="60 days")
-    return jobs.extract_stream(
-        unique, lambda df: df.select("id"), fresh_path(spark, "unique"), fresh_path(spark, "state")
-    )
+    """Every id once, over several batches that arrive out of order."""
+    source = fresh_path(spark, "arriving")
+    seen = views.table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), "event_id")
+    seen.repartition(4, F.col("event_id") % 4).write.parquet(source)
+    arriving = spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    sink = fresh_path(spark, "unique")
+    jobs.new_listings_stream(arriving, None, sink, fresh_path(spark, "state"), "event_id")
+    return spark.read.parquet(sink).select("id")
 
 
 @query

@@ -114,6 +114,26 @@ matches as (
         or len(list_filter(barrio_list, lambda b: contains(lower(localizacion), lower(b)))) > 0))"""
 
 
+USABLE = "(coalesce(m2_construidos, m2_utiles) is not null and habitaciones is not null and banos is not null)"
+
+# the feature text of a part as the view words it
+BASIC_TEXT = """concat_ws('; ',
+  case when p_partkey % 11 <> 0 then (p_size + 20) || ' m² construidos, ' || (p_size + 10) || ' m² útiles' end,
+  case when p_partkey % 7 <> 0 then (p_partkey % 5 + 1)
+    || case when p_partkey % 5 = 0 then ' habitación' else ' habitaciones' end end,
+  case when p_partkey % 6 <> 0 then (p_partkey % 3 + 1) || case when p_partkey % 3 = 0 then ' baño' else ' baños' end end,
+  case p_partkey % 4 when 0 then 'Segunda mano/buen estado' when 1 then 'Segunda mano/para reformar'
+    when 2 then 'Promoción de obra nueva' end,
+  case p_partkey % 3 when 0 then 'Orientación oeste' when 1 then 'Orientación norte, sur' end,
+  case when p_partkey % 5 <> 0 then 'Calefacción individual: Gas natural' end,
+  case when p_partkey % 8 <> 0 then 'Planta ' || (p_partkey % 9) || 'ª exterior con ascensor' else 'Bajo interior' end,
+  case when p_partkey % 10 <> 0 then 'Construido en ' || (p_partkey % 70 + 1950) end,
+  case p_partkey % 12 when 1 then 'Trastero' when 2 then 'terraza y balcón' when 3 then 'Terraza' end,
+  case p_partkey % 13 when 1 then 'Plaza de garaje incluida en el precio'
+    when 2 then 'Garaje por 10.000 eur adicionales' end,
+  case p_partkey % 14 when 1 then 'Armarios empotrados' when 2 then 'Armario empotrado' end,
+  case when p_partkey % 15 = 1 then 'Acceso adaptado a personas con movilidad reducida' end)"""
+
 REPORTED = SCORED + "," + CLIENTS + "," + _match("chosen")
 
 PREDICTED = LISTINGS + """,
@@ -455,11 +475,60 @@ select id, precio, umbral, round(diferencia, 2) as diferencia from chosen""",
     "match_preferences": f"with {LISTINGS}, {CLIENTS}, {_match('l')} select * from matches",
     "match_quirks": f"with {LISTINGS}, {CLIENTS}, {_match('l', quirks=True)} select * from matches",
     "clients_per_listing": f"""with {REPORTED}
-select listing_id, client_id // 512 as part, string_agg(client_id, ',' order by client_id) as clients,
-       cast(count(*) as int) as n from matches group by 1, 2""",
+select id as listing_id, 0 as part, coalesce(string_agg(client_id, ',' order by client_id), '') as clients,
+       cast(count(client_id) as int) as n from chosen left join matches on id = listing_id group by 1""",
     "reports_per_client": f"""with {REPORTED}
-select client_id, listing_id // 4096 as part, string_agg(listing_id, ',' order by listing_id) as listings,
-       cast(count(*) as int) as n from matches group by 1, 2""",
+select client_id, 0 as part, string_agg(listing_id, ',' order by listing_id) as listings,
+       cast(count(*) as int) as n from matches group by 1""",
+    "daily_run": f"""with {REPORTED}
+select id, round(any_value(diferencia), 2) as diferencia, 0 as part,
+       coalesce(string_agg(client_id, ',' order by client_id), '') as clients,
+       cast(count(client_id) as int) as n, 'No' as seleccionado, '{URL_BASE}' || id || '/' as enlace
+from chosen left join matches on id = listing_id where id % 10 = 0 group by id""",
+    "run_counts": f"""with {REPORTED}
+select 'daily' as run, (select count(*) from l where id % 10 = 0) as found,
+       (select count(*) from chosen where id % 10 = 0) as kept,
+       count(distinct listing_id) as matched, count(*) as matches from matches where listing_id % 10 = 0""",
+    "outbox_two_runs": f"""with {REPORTED}
+select client_id, 'report' as kind, case when listing_id % 2 = 0 then 'monday' else 'tuesday' end as run,
+       count(*) as n_reports from matches group by 1, 2, 3""",
+    "condition_rank": f"""with {LISTINGS},
+counted as (
+  select localizacion, estado_vivienda, count(*) as n from l where estado_vivienda is not null group by 1, 2
+  union all select '*', estado_vivienda, count(*) from l where estado_vivienda is not null group by 2)
+select localizacion, estado_vivienda, n,
+       row_number() over (partition by localizacion order by n desc, estado_vivienda) as rank from counted""",
+    "raw_roundtrip": f"""select p_partkey as id, 'Centro; norte' as localizacion, p_partkey * 1000 as precio,
+       coalesce(length(text), 0) as basicas
+from (select p_partkey, case when p_partkey % 16 <> 0 then {BASIC_TEXT} end as text from part)""",
+    "clients_roundtrip": f"""with {CLIENTS}
+select cid as id, precio_min, wants_exterior as exterior, array_to_string(extra_list, ',') as extras,
+       array_to_string(estado_list, ',') as estados_vivienda, array_to_string(barrio_list, ',') as barrios_interes
+from people""",
+    "matches_roundtrip": f"""with {REPORTED}
+select listing_id, string_agg(client_id, ',' order by client_id) as clients from matches group by 1""",
+    "train_test_folds": f"""with {LISTINGS},
+parts as (
+  select id, cast(('0x' || substr(md5(id || ':42'), 1, 8)) as bigint) % 5 = 0 as held,
+         cast(cast(('0x' || substr(md5(id || ':43'), 1, 8)) as bigint) % 5 as int) as fold from l)
+select id, case when held then 'test' else 'train' end as part, case when held then -1 else fold end as fold from parts""",
+    **{
+        f"{model}_scores": f"""with {LISTINGS}
+select '{model}' as model, count(*) as listings, count(*) filter ({usable}) as estimates, cast(0 as bigint) as off,
+       true as better, true as drawn from l"""
+        for model, usable in {
+            "forest": USABLE, "bagging": USABLE, "boosting": USABLE, "kernel": "true"
+        }.items()
+    },
+    "weighted_scores": f"""with {LISTINGS}
+select id, {USABLE} as forest, {USABLE} as bagging, {USABLE} as boosting, true as kernel, true as inside,
+       true as difference from l""",
+    "depth_metrics": f"""with {LISTINGS},
+told as (
+  select cast(cast(('0x' || substr(md5(id || ':43'), 1, 8)) as bigint) % 5 as int) as fold
+  from l where {USABLE} and cast(('0x' || substr(md5(id || ':42'), 1, 8)) as bigint) % 5 <> 0)
+select model, fold, count(*) as told, count(*) as ids, count(*) as values, true as scored
+from told, (select unnest(['3', '5', '7']) as model) group by 1, 2""",
     "interested_counts": f"""with {REPORTED}
 select listing_id as id, count(*) as n_clientes from matches group by 1""",
     "condition_share": f"""with {LISTINGS}
@@ -519,7 +588,7 @@ select cid as id, {_SHOWN['Precio mínimo']} as precio_min, {_SHOWN['Metros mín
 select cid as id, array_to_string(extra_list, ',') as extras, array_to_string(estado_list, ',') as estados_vivienda,
   array_to_string(barrio_list, ',') as barrios_interes from people""",
     "report_messages": f"""with {REPORTED}
-select client_id, any_value(email) as recipient, 'report' as kind,
+select client_id, any_value(email) as recipient, 'report' as kind, '' as run,
   'Informes inmobiliarios recientes - Oportunidades destacadas para ti' as subject,
   'Estimado/a ' || any_value(nombre) || ',' || chr(10) || chr(10)
   || 'Te adjuntamos los informes más recientes que cumplimentan tus preferencias de inversión.' || chr(10) || chr(10)

@@ -187,7 +187,7 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.when(
         k % 37 != 0,
         F.concat(
-            F.lit('<span class="info-data-price"><span class="txt-bold">'),
+            F.lit('<span data-class="txt-bold">9 €</span><span class=info-data-price><span class=txt-bold>'),
             F.when(k % 31 == 0, "consultar").otherwise(dotted_price(F.col("o_totalprice"))),
             F.lit("</span></span>"),
         ),

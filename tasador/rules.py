@@ -139,6 +139,16 @@ PREFERENCE_LINES = [
     ("Barrios de interés", "barrios_interes", "text"),
 ]
 WELCOME_SUBJECT = "Bienvenido a {brand}"
+WELCOME_TITLE = ("¡Bienvenido a tu ", "!")
+GREETING = "Hola "
+PREFERENCES_TITLE = "🔍 Estas son las especificaciones que has definido:"
+WELCOME_HELP = (
+    "Si deseas ajustar cualquier preferencia, puedes escribirnos a "
+    '<a href="mailto:{sender}">{sender}</a> o responder a este correo.'
+)
+WELCOME_END = "Gracias por confiar en nosotros.<br>El equipo de {brand}."
+REPORT_GREETING = "Estimado/a "
+REPORT_END = "Un cordial saludo,\nEl equipo de {brand}."
 REPORT_SUBJECT = "Informes inmobiliarios recientes - Oportunidades destacadas para ti"
 REPORT_BODY = (
     "Te adjuntamos los informes más recientes que cumplimentan tus preferencias de inversión."

@@ -68,7 +68,7 @@ def test_preparation_variants(listings):
 def test_models_beat_the_mean(spark, listings, tmp_path, preset, params):
     train, test = models.split_train_test(models.prepare_training(listings, preset))
     fitted = models.fit(train, preset, params)
-    metrics = models.trimmed_metrics(models._predictions(fitted, test, preset, 0)).first()
+    metrics = models.trimmed_metrics(models._predictions(fitted.model, test, preset, 0)).first()
     assert metrics["r2"] > 0.3
     save_model(fitted.model, str(tmp_path / preset))
     again = load_model(str(tmp_path / preset))
@@ -90,7 +90,7 @@ def test_training_and_scoring(spark, listings, preset, grid):
         assert fitted.params["maxIter"] == 8
     weights = models.weights_from(metrics)
     assert weights == {preset: 1.0}
-    scored = models.score_listings(listings, {preset: fitted.model}, weights)
+    scored = models.score_listings(listings, {preset: fitted}, weights)
     assert set(listings.columns) < set(scored.columns) and scored.count() == listings.count()
     bad = scored.where(
         (F.col("Diferencia_Ponderada").isNull() != F.col(f"pred_{preset}").isNull())
@@ -98,9 +98,9 @@ def test_training_and_scoring(spark, listings, preset, grid):
     )
     assert bad.isEmpty()
     unscored = scored.where("estimate is null").count()
-    assert unscored == listings.where(
-        "(m2_construidos is null and m2_utiles is null) or habitaciones is null or banos is null"
-    ).count()
+    left_out = "(m2_construidos is null and m2_utiles is null) or habitaciones is null or banos is null"
+    # the kernel's training keeps every row, and so does its scoring
+    assert unscored == (0 if preset == "kernel" else listings.where(left_out).count())
 
 
 def test_depth_search(listings):
@@ -112,3 +112,32 @@ def test_draws_are_seeded_and_distinct():
     draws = models.draw_params(models.GRIDS["boosting"], 10)
     assert draws == models.draw_params(models.GRIDS["boosting"], 10)
     assert len({str(d) for d in draws}) == 10
+
+
+@pytest.mark.parametrize("preset, params", [("forest", {"numTrees": 5, "maxDepth": 4}), ("kernel", {"components": 32})])
+def test_scoring_prepares_as_training_did(spark, listings, preset, params):
+    prepared = models.prepare_training(listings, preset)
+    fitted = models.fit(models.split_train_test(prepared)[0], preset, params)
+    own = {r["id"]: r["prediction"] for r in fitted.model.transform(prepared).select("id", "prediction").collect()}
+    scored = models.score_listings(listings, {preset: fitted}, {preset: 1.0})
+    told = {r["id"]: r["estimate"] for r in scored.select("id", "estimate").collect() if r["estimate"] is not None}
+    assert told.keys() == own.keys() and all(abs(told[i] - own[i]) < 1e-6 for i in own)
+    if preset == "kernel":
+        assert not scored.where("m2_construidos is null and m2_utiles is null and estimate is not null").isEmpty()
+
+
+def test_estimate_weighs_the_models_that_have_a_value(spark, listings):
+    fitted = {}
+    for preset, params in (("forest", {"numTrees": 3, "maxDepth": 3}), ("kernel", {"components": 16})):
+        fitted[preset] = models.fit(models.prepare_training(listings, preset), preset, params)
+    rows = models.score_listings(listings, fitted, {"forest": 0.25, "kernel": 0.75}).collect()
+    assert any(r["pred_forest"] is None for r in rows)
+    for r in rows:
+        alone = r["pred_forest"] is None
+        want = r["pred_kernel"] if alone else 0.25 * r["pred_forest"] + 0.75 * r["pred_kernel"]
+        assert abs(r["estimate"] - want) < 1e-6
+
+
+def test_weights_of_a_model_without_error(spark):
+    metrics = spark.createDataFrame([("a", 0.0), ("b", 2.0), ("c", None)], "model string, mse double")
+    assert models.weights_from(metrics) == {"a": 1.0, "b": 0.0, "c": 0.0}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tasador.operators import incremental, matching, reports, stats
 from tasador.plans.joins import checked_join, salted_join
+from tasador.plans.lineage import cut_lineage, path_exists, scratch
 from tasador.plans.quantiles import exact_quantiles
 from tasador.sources import files, outbox
 
@@ -113,6 +114,51 @@ def test_lists_come_in_bounded_parts(spark):
     assert sum((r["clients"] for r in rows if r["listing_id"] == 1), []) == list(range(25))
 
 
+def test_lists_follow_the_rank_and_not_the_id(spark):
+    matches = spark.createDataFrame([(1, 5), (1, 100005), (1, 2**40)], "listing_id long, client_id long")
+    listings = spark.createDataFrame([(1,), (2,)], "id long")
+    rows = matching.collect_clients(matches, listings).orderBy("listing_id").collect()
+    assert [tuple(r) for r in rows] == [(1, 0, [5, 100005, 2**40], 3), (2, 0, [], 0)]
+
+
+def test_locations_whose_lower_case_is_longer(spark):
+    names = spark.createDataFrame([("İz",), ("calle",), ("calma",)], "location string")
+    wanted = spark.createDataFrame([(1, ["z"]), (2, ["CAL"])], "client_id long, barrios_interes array<string>")
+    for cell_rows in (8192, 1):  # one cell, and a hot beginning split into many
+        found = matching.resolve_locations(wanted, names, cell_rows).collect()
+        assert sorted(tuple(r) for r in found) == [(1, "İz"), (2, "calle"), (2, "calma")]
+
+
+def test_rows_without_an_id_are_not_appended(spark):
+    old = spark.createDataFrame([(1, "a")], "id long, x string")
+    batch = spark.createDataFrame([(2, "b"), (None, "c"), (1, "d")], old.schema)
+    once = incremental.append_new(old, batch)
+    assert sorted(tuple(r) for r in once.collect()) == [(1, "a"), (2, "b")]
+    assert incremental.append_new(once, batch).count() == 2
+
+
+def test_keyless_rows_of_a_salted_join_are_kept(spark):
+    big = spark.range(1000).selectExpr("cast(null as long) k", "id")
+    big = big.union(spark.createDataFrame([(1, -1)], "k long, id long"))
+    small = spark.createDataFrame([(1,)], "k long")
+    assert salted_join(big, small, ["k"], "left_anti", ["id"]).count() == 1000
+    assert salted_join(big, small, ["k"], "left", ["id"]).count() == 1001
+
+
+def test_far_off_values_make_no_long_array(spark):
+    rows = spark.createDataFrame([(1.0,), (1.0,), (25_000.0,)], "x double")
+    found = stats.int_histogram(rows, "x")
+    assert found.count() == 25_000 and found.agg(F.sum("n")).first()[0] == 3
+
+
+def test_scratch_removes_its_own_tables(spark):
+    with scratch(spark):
+        kept = cut_lineage(spark.range(3), "mine")
+        path = kept.inputFiles()[0].rsplit("/", 1)[0]
+        assert path_exists(spark, path) and kept.count() == 3
+    assert not path_exists(spark, path)
+
+
 def _scan(rows, known, n):
     kept, streak = [], 0
     for item in rows:
@@ -287,10 +333,13 @@ def test_matches_with_arrays_on_disk(spark, tmp_path):
 
 
 def test_outbox_takes_each_key_once(spark, tmp_path):
-    rows = spark.createDataFrame([(1, "welcome", "a"), (2, "welcome", "b")], "client_id long, kind string, body string")
-    for _ in range(2):
-        outbox.write_outbox(rows, str(tmp_path / "o"), outbox.KEYS["messages"])
-    assert spark.read.parquet(str(tmp_path / "o")).count() == 2
+    columns = "client_id long, kind string, run string, body string"
+    rows = spark.createDataFrame([(1, "report", "mo", "a"), (2, "report", "mo", "b")], columns)
+    later = spark.createDataFrame([(1, "report", "tu", "c")], columns)
+    for part in (rows, rows, later, later):
+        outbox.write_outbox(part, str(tmp_path / "o"), outbox.KEYS["messages"])
+    waiting = spark.read.parquet(str(tmp_path / "o"))
+    assert sorted((r["client_id"], r["run"]) for r in waiting.collect()) == [(1, "mo"), (1, "tu"), (2, "mo")]
 
 
 def test_index_and_rejected_pages(spark):

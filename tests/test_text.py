@@ -121,6 +121,27 @@ def test_attributes(spark):
 
 def test_strip_accents(spark):
     assert one(spark, text.strip_accents, "Ñandú é ﬁn Ấ") == "Nandu e fin A"
+    assert one(spark, text.strip_accents, "90 ㎡… ™ № 𝐀") == "90 m2... TM No A"
+    assert one(spark, text.strip_accents, "plain") == "plain"
+    assert one(spark, text.strip_accents, "") == ""
+    assert one(spark, text.strip_accents, None) is None
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        '<span data-class="txt-bold">WRONG</span><span class="txt-bold">1</span>',
+        "<span class=txt-bold>1</span>",
+        "<span id=a class='big txt-bold'>1</span>",
+        '<span class="txt-bolder">no</span><span class="a txt-bold b">1</span>',
+    ],
+)
+def test_class_is_an_attribute_of_its_own(spark, html):
+    assert one(spark, lambda c: pages.element_text(c, "span", "txt-bold"), html) == "1"
+
+
+def test_unquoted_attribute(spark):
+    assert one(spark, lambda c: pages.attribute(c, "src"), "<img src=a.png alt=x>") == "a.png"
 
 
 def test_lists(spark):
