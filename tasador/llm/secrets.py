@@ -28,7 +28,7 @@ nothing else; an empty table gives an empty result; extra columns are carried al
 
 from __future__ import annotations
 
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tasador.llm.linededup import with_text
 from tasador.llm.splits import bounded_sample
-from tasador.plans.lineage import cut_lineage
+from tasador.plans.lineage import cut_lineage, fresh_path
 
 LEAST_LENGTH = 16
 WORD_COUNT = 5
@@ -187,6 +187,10 @@ def scored(shaped: DataFrame, findings: DataFrame | None = None, train_rows: int
     forest = RandomForestClassifier(
         featuresCol="_features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=17, probabilityCol="_probability"
     ).fit(gather.transform(sample))
+    # read back without its training summary, which holds the session and cannot be sent to tasks
+    path = fresh_path(shaped.sparkSession, "forest")
+    forest.save(path)
+    forest = RandomForestClassificationModel.load(path)
     told = forest.transform(gather.transform(shaped))
     return told.withColumn("score", vector_to_array("_probability")[1]).drop(
         "_features", "rawPrediction", "_probability", "prediction"
