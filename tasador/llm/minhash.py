@@ -53,6 +53,7 @@ ERRORS = 1
 BITS = 16
 PERCENT = 85
 HOT_ADDITION = 16
+CLOSE = 8
 
 _seeds = np.random.default_rng(41)
 _FACTORS = _seeds.integers(1, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -155,7 +156,10 @@ def _linked(compared: DataFrame, percent: int) -> DataFrame:
 
 
 def _open_pairs(entries: DataFrame, near: DataFrame, labels: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of different components around one pivot that the pivot does not rule out."""
+    """(a, b, far) of different components around one pivot that the pivot does not rule out.
+
+    ``far`` orders the partners of an ``a`` by how far they are from the pivot.
+    """
     placed = entries.where(F.col("n") > 3).select("p0", "cid").distinct()  # up to three have all met a pivot
     placed = placed.join(labels.withColumnRenamed("node", "cid"), "cid", "left")
     placed = cut_lineage(placed.withColumn("label", F.coalesce("label", "cid")), "placed")
@@ -197,7 +201,8 @@ def _open_pairs(entries: DataFrame, near: DataFrame, labels: DataFrame, texts: D
     sized = members.withColumn("band", band(F.col("size"))).alias("r")
     tests = [F.col("l.p0") == F.col("r.p0"), F.col("l.band") == F.col("r.band"), apart, may_be_linked(F.lit(0))]
     pair = [F.col("l.cid").alias("a"), F.col("r.cid").alias("b")]
-    alone = reach.join(sized, tests).select(*pair)
+    far = F.col("r.size") - 2 * F.col("r.inter")
+    alone = reach.join(sized, tests).select(*pair, far.alias("far"))
 
     rare = added.where(F.col("times") <= HOT_ADDITION).select("p0", "h", "cid")
     told = rare.join(members, ["p0", "cid"])
@@ -209,12 +214,21 @@ def _open_pairs(entries: DataFrame, near: DataFrame, labels: DataFrame, texts: D
             F.count(F.lit(1)).alias("shared"),
             F.first(F.least("l.inter", "r.inter")).alias("most"),
             F.first(F.col("l.size") + F.col("r.size")).alias("sizes"),
+            F.first(far).alias("far"),
         )
         .withColumn("most", F.col("most") + F.col("shared"))
         .where(100 * F.col("most") >= percent * (F.col("sizes") - F.col("most")))
-        .select("a", "b")
+        .select("a", "b", "far")
     )
-    return alone.unionByName(together).distinct()
+    return alone.unionByName(together).groupBy("a", "b").agg(F.min("far").alias("far"))
+
+
+def _still_apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose classes are in different components."""
+    a = labels.select(F.col("node").alias("a"), F.col("label").alias("label_a"))
+    b = labels.select(F.col("node").alias("b"), F.col("label").alias("label_b"))
+    told = pairs.join(a, "a", "left").join(b, "b", "left")
+    return told.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
 
 
 def mark_rows(docs: DataFrame, percent: int = PERCENT, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -257,10 +271,16 @@ def mark_rows(docs: DataFrame, percent: int = PERCENT, text_col: str = "text", i
     near = cut_lineage(_compared(stars, texts), "near")
     links = cut_lineage(_linked(near, percent), "links")
     labels = components(links)
+    turn = F.row_number().over(Window.partitionBy("a").orderBy("far", "b"))
     rest = cut_lineage(_open_pairs(entries, near, labels, texts, percent), "rest")
-    more = cut_lineage(_linked(_compared(rest, texts), percent), "more-links")
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    # most that are linked at all are linked with what is close to the pivot; only the others meet all their partners
+    first = cut_lineage(rest.withColumn("turn", turn).where(F.col("turn") <= CLOSE).select("a", "b"), "first")
+    for chosen_pairs in (lambda: first, lambda: _still_apart(rest, labels).join(first, ["a", "b"], "left_anti")):
+        pairs = cut_lineage(chosen_pairs(), "pairs")
+        more = cut_lineage(_linked(_compared(pairs, texts), percent), "more-links")
+        if not more.isEmpty():
+            links = cut_lineage(links.unionByName(more), "links")
+            labels = components(links)
 
     grouped = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left")
     grouped = cut_lineage(grouped.select("k1", "k2", "best", F.coalesce("label", "cid").alias("label")), "grouped")
