@@ -32,15 +32,15 @@ import html
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tasador.plans.joins import checked_join
 from tasador.plans.lineage import cut_lineage
 
 DECAY = 0.9
 LEAST = 0.25
 FEWEST_PAGES = 5
-SALTS = 16
 
 DROPPED = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|select|textarea|button|title"
 BLOCKS = frozenset(
@@ -249,17 +249,19 @@ def node_importance(parsed: DataFrame, decay: float = DECAY, fewest: int = FEWES
 
 def main_text(pages: DataFrame, least: float = LEAST) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    parsed = cut_lineage(parse_pages(pages), "parsed")
+    parsed = parse_pages(pages)
+    # texts are parsed a second time below rather than written: only hashes of them are counted
+    counted = F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), F.xxhash64(b["text"]).alias("text")))
+    seen = cut_lineage(parsed.select("host", "mark", counted.alias("blocks"), "looks"), "seen")
     declared = F.col("path").rlike("/[!=+]")
     unimportant = (
-        node_importance(parsed)
+        node_importance(seen)
         .where((F.col("importance") < least) & ~declared & F.col("path").rlike("/body[^/]*/."))
         .groupBy("host")
         .agg(F.collect_list("path").alias("removed"))
     )
-    salted = unimportant.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = parsed.select("page_id", "url", "host", "blocks", F.pmod(F.xxhash64("page_id", "mark"), F.lit(SALTS)).cast("int").alias("_salt"))
-    rows = rows.join(salted, ["host", "_salt"], "left")
+    rows = parsed.select("page_id", "url", "host", "blocks", "mark")
+    rows = checked_join(rows, unimportant, ["host"], "left", salt=["page_id", "mark"])
     left = F.filter(
         "blocks",
         lambda b: ~b["path"].contains("/!")
@@ -272,7 +274,11 @@ def main_text(pages: DataFrame, least: float = LEAST) -> DataFrame:
         ),
     )
     rows = rows.select("page_id", "url", left.alias("_left"))
-    inside = [F.filter("_left", lambda b, mark=mark: b["path"].contains(mark)) for mark in ("/=", "/+")]
-    chosen = F.when(F.size(inside[0]) > 0, inside[0]).when(F.size(inside[1]) > 0, inside[1]).otherwise(F.col("_left"))
+
+    def inside(mark: str) -> Column:
+        return F.filter("_left", lambda b: b["path"].contains(mark))
+
+    main, article = inside("/="), inside("/+")
+    chosen = F.when(F.size(main) > 0, main).when(F.size(article) > 0, article).otherwise(F.col("_left"))
     text = F.array_join(F.transform(chosen, lambda b: b["text"]), "\n")
     return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
