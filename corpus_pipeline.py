@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tasador.llm import linededup, minhash, packing, quality, secrets
 from tasador.plans.lineage import cut_lineage
 
+COPY_PERCENT = 80
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
@@ -24,8 +26,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return minhash.without_copies(docs)
+    """One document of each group of near copies stays; copies share 80 percent of their runs of five words."""
+    return minhash.without_copies(docs, percent=COPY_PERCENT)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

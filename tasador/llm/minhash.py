@@ -8,7 +8,9 @@ a chunk with at most ``ERRORS`` differences. For one error, a chunk gives one
 key per symbol left out, so such pairs are sure to share a key. With 40 symbols,
 8 chunks and 1 error all pairs within 15 differing symbols meet; at a similarity
 of 0.85 fewer than one pair in ten thousand differs in more, and most of
-those still meet.
+those still meet. Below 0.85 there are 10 chunks of 4 symbols, so all pairs within
+19 differing symbols meet, which holds at 0.8 for all but one pair in fifty thousand;
+below 0.8 more are missed.
 
 Documents with equal sets form one class and are looked at once. A key that
 many classes share is not expanded into all pairs:
@@ -49,6 +51,7 @@ from tasador.plans.lineage import cut_lineage
 WORDS = 5
 SYMBOLS = 40
 CHUNKS = 8
+WIDE_CHUNKS = 10
 ERRORS = 1
 BITS = 16
 PERCENT = 85
@@ -66,13 +69,18 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return mix(minima) >> np.uint64(64 - BITS)
 
 
-def chunk_keys(symbols: np.ndarray) -> np.ndarray:
+def chunks_for(percent: int) -> int:
+    """The number of chunks with which pairs of this similarity meet."""
+    return CHUNKS if percent >= PERCENT else WIDE_CHUNKS
+
+
+def chunk_keys(symbols: np.ndarray, chunks: int = CHUNKS) -> np.ndarray:
     """One key per chunk and symbol left out of it: equal for signatures that differ there in that symbol only."""
-    per = SYMBOLS // CHUNKS
-    parts = symbols.reshape(CHUNKS, per) + np.uint64(1)
-    weighted = mix(parts * _KEY_FACTORS)
+    per = SYMBOLS // chunks
+    parts = symbols.reshape(chunks, per) + np.uint64(1)
+    weighted = mix(parts * _KEY_FACTORS[:per])
     without = weighted.sum(axis=1, dtype=np.uint64)[:, None] - weighted
-    place = np.arange(SYMBOLS, dtype=np.uint64).reshape(CHUNKS, per) * np.uint64(0x9E3779B97F4A7C15)
+    place = np.arange(SYMBOLS, dtype=np.uint64).reshape(chunks, per) * np.uint64(0x9E3779B97F4A7C15)
     return mix(without + place).ravel().view(np.int64)
 
 
@@ -96,12 +104,12 @@ def marks_column(text: Column) -> Column:
     return marks(text)
 
 
-def keys_column(signature: Column) -> Column:
+def keys_column(signature: Column, chunks: int = CHUNKS) -> Column:
     """The keys of a signature."""
 
     @F.pandas_udf("array<long>")
     def keys(series: pd.Series) -> pd.Series:
-        return pd.Series([chunk_keys(np.frombuffer(x, np.uint16).astype(np.uint64)) for x in series], dtype=object)
+        return pd.Series([chunk_keys(np.frombuffer(x, np.uint16).astype(np.uint64), chunks) for x in series], dtype=object)
 
     return keys(signature)
 
@@ -250,7 +258,7 @@ def mark_rows(docs: DataFrame, percent: int = PERCENT, text_col: str = "text", i
     )
     classes = cut_lineage(classes, "classes")
 
-    held = classes.select("cid", F.explode(keys_column(F.col("signature"))).alias("key"))
+    held = classes.select("cid", F.explode(keys_column(F.col("signature"), chunks_for(percent))).alias("key"))
     counts = held.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     entries = cut_lineage(held.join(cut_lineage(counts, "counts").hint("merge"), "key"), "entries")
     often = entries.groupBy("cid").agg(F.sum("n").alias("often"))

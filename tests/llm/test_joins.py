@@ -164,6 +164,29 @@ def test_one_of_each_group_stays(spark):
     assert minhash.without_copies(docs.limit(0)).count() == 0
 
 
+def test_copies_stage_at_80_percent(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    rows = []
+    for i in range(90):
+        own = [word() for _ in range(150)]
+        rows.append((2 * i, " ".join(own), "s"))
+        for at in range(10, 10 + 40 * [2, 3, 4][i % 3], 40):  # 0.87, 0.81 and 0.76 apart from the ends of the text
+            own[at] = word()
+        rows.append((2 * i + 1, " ".join(own), "s"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    left = {r["doc_id"] for r in corpus_pipeline.copies_stage(spark, docs, SF).collect()}
+    assert left == {x[1] for x in _components(rows, 80).values()} and len(left) == 120
+    assert {x[1] for x in _components(rows, 85).values()} > left
+    # pairs within 19 differing symbols share a key, wherever these are
+    same = np.arange(minhash.SYMBOLS, dtype=np.uint64)
+    chunks = minhash.chunks_for(corpus_pipeline.COPY_PERCENT)
+    for _ in range(300):
+        other = same.copy()
+        other[rng.sample(range(minhash.SYMBOLS), 2 * chunks - 1)] += np.uint64(1000)
+        assert set(minhash.chunk_keys(same, chunks)) & set(minhash.chunk_keys(other, chunks))
+
+
 def _one_edit(a, b):
     if a == b:
         return True
