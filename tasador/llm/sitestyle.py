@@ -15,7 +15,14 @@ entropies to the base m, a node's importance is
 header, footer, sidebar, notice, advert, form or comments has importance 0, and
 what it declares to be the article or the main part has importance 1, so that
 hosts with few pages, or with many copies of one page, come out right too. If a
-page declares a main part or an article, only that is taken.
+page declares a main part or an article, only that is taken, without the branches
+inside it that are below ``LEAST``. Nothing is removed inside a declared part that is
+itself below ``LEAST`` on its host, as the pages then are versions of one article.
+
+With less than ``FEWEST_PAGES`` distinct pages only branches that are equal on all
+of them are removed, and only if the declared part, or else the body, is not below
+``LEAST``. One page alone is judged by its markup. A node is judged as a whole: a repeated paragraph
+among other paragraphs with the same tags and classes stays.
 
 Character references are decoded, white space inside a block becomes one
 space, blocks are trimmed and joined in page order by one line feed.
@@ -41,6 +48,7 @@ from tasador.plans.lineage import cut_lineage
 DECAY = 0.9
 LEAST = 0.25
 FEWEST_PAGES = 5
+EQUAL = 1e-9
 
 DROPPED = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|select|textarea|button|title"
 BLOCKS = frozenset(
@@ -208,7 +216,7 @@ def parse_pages(pages: DataFrame) -> DataFrame:
 
 
 def node_importance(parsed: DataFrame, decay: float = DECAY, fewest: int = FEWEST_PAGES) -> DataFrame:
-    """Importance of every node of every host with at least ``fewest`` distinct pages: host, path, importance.
+    """Importance of every node of every host with at least ``fewest`` distinct pages: host, path, m, importance.
 
     Copies of a page count once. Only counts meet: a text's pages, then sums per
     node, then sums over the nodes below it.
@@ -243,32 +251,41 @@ def node_importance(parsed: DataFrame, decay: float = DECAY, fewest: int = FEWES
     return (
         contents.join(looks, ["host", "path"], "left")
         .join(pages, "host")
-        .select("host", "path", ((1 - fade) * look + fade * content).alias("importance"))
+        .select("host", "path", "m", ((1 - fade) * look + fade * content).alias("importance"))
     )
 
 
+def removed_paths(parsed: DataFrame, least: float = LEAST) -> DataFrame:
+    """host and the paths that are removed there; declared parts themselves are never among them."""
+    nodes = cut_lineage(node_importance(parsed, fewest=2), "nodes")
+    path, few = F.col("path"), F.col("m") < FEWEST_PAGES
+    declared, body = F.regexp_extract(path, "^(.*/[=+][^/]*)/", 1), F.regexp_extract(path, "^(.*?/body[^/]*)/.", 1)
+    told = nodes.select("*", (declared != "").alias("inside"), F.when(declared != "", declared).otherwise(body).alias("root"))
+    low = F.when(few, F.col("importance") < EQUAL).otherwise(F.col("importance") < least)
+    told = told.where(low & ~path.contains("/!") & ~path.rlike("/[=+][^/]*$") & (F.col("root") != ""))
+    roots = nodes.select("host", F.col("path").alias("root"), F.col("importance").alias("whole"))
+    told = told.join(roots, ["host", "root"]).where(~(F.col("inside") | few) | (F.col("whole") >= least))
+    return told.groupBy("host").agg(F.collect_list("path").alias("removed"))
+
+
 def main_text(pages: DataFrame, least: float = LEAST) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     parsed = parse_pages(pages)
     # texts are parsed a second time below rather than written: only hashes of them are counted
     counted = F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), F.xxhash64(b["text"]).alias("text")))
     seen = cut_lineage(parsed.select("host", "mark", counted.alias("blocks"), "looks"), "seen")
-    declared = F.col("path").rlike("/[!=+]")
-    unimportant = (
-        node_importance(seen)
-        .where((F.col("importance") < least) & ~declared & F.col("path").rlike("/body[^/]*/."))
-        .groupBy("host")
-        .agg(F.collect_list("path").alias("removed"))
-    )
     rows = parsed.select("page_id", "url", "host", "blocks", "mark")
-    rows = checked_join(rows, unimportant, ["host"], "left", salt=["page_id", "mark"])
+    rows = checked_join(rows, removed_paths(seen, least), ["host"], "left", salt=["page_id", "mark"])
     left = F.filter(
         "blocks",
         lambda b: ~b["path"].contains("/!")
         & ~F.coalesce(
             F.exists(
                 "removed",
-                lambda r: (b["path"] == r) | b["path"].startswith(F.concat(r, F.lit("/"))) & ~b["path"].rlike("/[=+]"),
+                # a declared part stays where what is around it goes
+                lambda r: (b["path"] == r)
+                | b["path"].startswith(F.concat(r, F.lit("/")))
+                & ~F.substring(b["path"], F.length(r) + 1, F.length(b["path"])).rlike("/[=+]"),
             ),
             F.lit(False),
         ),

@@ -175,6 +175,30 @@ def test_style_tree_finds_what_a_site_repeats(spark):
         assert got[100 + i] == "HomeShop\nText 0.\nCall us"
 
 
+def test_what_a_site_repeats_inside_articles_goes(spark):
+    page = (
+        "<body><p>Top</p><article><h1>Title {0}</h1><p>Text {0}.</p><div class=offer><p>Order our magazine</p></div>"
+        "<div>Call us</div><p>More {0}.</p></article>"
+    )
+    rows = [(i, "http://many.example/", page.format(i)) for i in range(9)]
+    rows += [(100 + i, "http://few.example/", page.format(i).replace("article", "main")) for i in range(3)]
+    rows += [(200, "http://one.example/", page.format(0))]
+    # versions of one article: only a date differs
+    rows += [(300 + i, "http://same.example/", page.format(0).replace("<p>Text", f"<i>{i}</i><p>Text")) for i in range(6)]
+    rows += [(400 + i, "http://two.example/", page.format(0).replace("More", f"More {i}")) for i in range(2)]
+    rows += [(500 + i, "http://plain.example/", f"<body><div class=a>Go</div><p>Own {i}.</p><p>Its {i}.</p>") for i in range(2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in sitestyle.main_text(pages).collect()}
+    for i, _, _ in rows:
+        n = i % 100
+        if i < 200:
+            assert got[i] == f"Title {n}\nText {n}.\nMore {n}.", i
+        elif i < 500:
+            assert "Title 0" in got[i] and "Text 0." in got[i] and "Order our magazine\nCall us" in got[i]
+        else:
+            assert got[i] == f"Own {n}.\nIts {n}."
+
+
 def test_article_markup_of_the_given_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r["page_id"]: r["text"] for r in sitestyle.main_text(pages).collect()}
