@@ -20,6 +20,8 @@ hash. Where no table of reviewed findings is given, findings are labelled by
 secrets with a random value, are true; runs of letters only, plain numbers, words joined by marks,
 and parts of addresses are false; all others have no label and are not learned from.
 
+A candidate that stands at several places of a text is judged at each of them, and the highest score counts.
+
 Rows: null and empty texts have no candidates; candidates that repeat inside a text
 count once; a row repeated with id and text is treated like the row it repeats;
 without labels of both kinds every labelled true candidate is a secret and
@@ -62,7 +64,7 @@ def _row_keys() -> list[Column]:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """Distinct candidates of every text with their word and the words before: r1, r2, value, word, before."""
+    """Distinct candidates and surroundings in every text: r1, r2, value, before (it, in its word and two words), word."""
     words = F.split("text", r"\s+")
     hits = F.filter(
         F.transform("_words", lambda w, i: F.struct(i.alias("i"), w.alias("word"))),
@@ -76,20 +78,25 @@ def candidates(docs: DataFrame) -> DataFrame:
     # for the first words of a text fewer words stand before
     start = F.greatest(F.col("hit.i") - 1, F.lit(1))
     before = F.array_join(F.slice("_words", start, F.least(F.col("hit.i"), F.lit(2))), " ")
-    each = found.select(
+    # what stands between the candidates of a word is one piece more than these
+    split = found.select(
         "r1",
         "r2",
         F.col("hit.word").alias("word"),
         before.alias("words_before"),
-        F.explode(F.array_distinct(F.regexp_extract_all("hit.word", F.lit(f"({CANDIDATE})")))).alias("value"),
+        F.regexp_extract_all("hit.word", F.lit(f"({CANDIDATE})")).alias("values"),
+        F.split("hit.word", CANDIDATE, -1).alias("between"),
     )
-    inside = F.substring(F.col("word"), F.lit(1), F.instr(F.col("word"), F.col("value")) - 1)
-    return (
-        each.select("r1", "r2", "value", "word", F.concat_ws(" ", "words_before", inside).alias("before"))
-        .groupBy("r1", "r2", "value")
-        .agg(F.min(F.struct("before", "word")).alias("x"))
-        .select("r1", "r2", "value", "x.before", "x.word")
+    pairs = F.zip_with("between", "values", lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    places = F.transform(
+        "values",
+        lambda v, i: F.struct(
+            v.alias("value"), F.concat(F.array_join(F.slice(pairs, F.lit(1), i), ""), F.get("between", i)).alias("inside")
+        ),
     )
+    each = split.select("r1", "r2", "word", "words_before", F.explode(places).alias("x"))
+    context = F.concat_ws(" ", "words_before", "x.inside").alias("before")
+    return each.select("r1", "r2", F.col("x.value").alias("value"), context, "word").distinct()
 
 
 def dictionary(docs: DataFrame, count: int = WORD_COUNT) -> DataFrame:
@@ -203,6 +210,7 @@ def findings(docs: DataFrame, accept: float = 0.5) -> DataFrame:
     words = cut_lineage(dictionary(source), "dictionary")
     shaped = cut_lineage(with_features(candidates(source), words), "candidates")
     told = scored(shaped)
+    told = told.groupBy("r1", "r2", "value").agg(F.max("score").alias("score"))
     secret = F.when(F.col("score") >= accept, F.struct((-F.length("value")).alias("n"), "value", "score"))
     rows = told.groupBy("r1", "r2").agg(
         F.count(F.lit(1)).alias("n_candidates"), F.sort_array(F.collect_list(secret)).alias("found")

@@ -271,6 +271,42 @@ def test_secrets(spark):
     assert secrets.scan_documents(docs.limit(0)).count() == 0
 
 
+def _planted(rng):
+    """Texts with harmless long words, keys assigned to names of secrets, and addresses."""
+    word = lambda n=7: "".join(rng.choices("aeioulmnrst", k=n))
+    hexa = lambda n: "".join(rng.choices("0123456789abcdef", k=n - 2)) + "a1"
+    rows = []
+    for i in range(200):
+        words = [word() for _ in range(20)] + [word(20)]
+        if i % 4 == 0:
+            words.insert(9, f'token = "{hexa(40)}"')
+        if i % 4 == 1:
+            words.insert(3, f"https://www.example.com/path/{hexa(18)}")
+        if i % 4 == 2:
+            words.insert(3, f"{word()}.{word()}({hexa(40)})")
+        rows.append((i, " ".join(words), "s"))
+    return rows, hexa
+
+
+def test_a_secret_is_judged_at_each_of_its_places(spark):
+    rows, hexa = _planted(random.Random(4))
+    keys = {500 + i: hexa(40) for i in range(6)}
+    for i, key in keys.items():
+        bare = [f"aa https://www.example.com/?{key}", f"/a/b.html?{key}", f"aa aa {key}"][i % 3]
+        rows.append((i, f'{bare} and so on token = "{key}" or\n{bare}', "s"))
+    keys[600] = hexa(40)  # twice in one word
+    rows.append((600, f'(x={keys[600]};token="{keys[600]}")', "s"))
+    found = secrets.candidates(spark.createDataFrame(rows, "doc_id long, text string, n string")).collect()
+    for key in keys.values():
+        assert len({r["before"] for r in found if r["value"] == key and "token" in r["before"]}) >= 1
+        assert len({r["before"] for r in found if r["value"] == key}) >= 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n string")
+    got = {r["doc_id"]: [s["value"] for s in r["secrets"]] for r in secrets.scan_documents(docs).collect()}
+    assert all(got[i] == [key] for i, key in keys.items())
+    clean = {r["doc_id"]: r["text"] for r in secrets.without_secrets(docs).collect()}
+    assert all(key not in clean[i] for i, key in keys.items())
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
