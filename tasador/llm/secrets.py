@@ -2,7 +2,9 @@
 
 DataFrame functions and the JVM's random forest only. A candidate is a run of
 at least ``LEAST_LENGTH`` letters, digits and ``+/_-`` inside a word (a piece
-between white space). Its features:
+between white space), or the whole value assigned to a secret's name (in quotes, or up to white
+space) or standing as the password in an address, from ``LEAST_ASSIGNED`` characters of any kind. A run inside such
+a value is a candidate too; it is left out of the result where all its places are inside found values. Its features:
 
 * length, shares of digits, upper-case letters and marks, entropy of characters;
 * transitions: how often the kind of character changes, and how likely its
@@ -41,6 +43,7 @@ from tasador.llm.splits import bounded_sample
 from tasador.plans.lineage import cut_lineage, fresh_path
 
 LEAST_LENGTH = 16
+LEAST_ASSIGNED = 6
 WORD_COUNT = 5
 TRAIN_ROWS = 20_000
 TREES = 20
@@ -49,6 +52,15 @@ MASK = "[SECRET]"
 
 CANDIDATE = r"[A-Za-z0-9+/_-]{16,}"
 SECRET_NAMES = r"(?i)(passw|pwd|secret|token|api.?key|access.?key|private.?key|credential|auth|bearer)"
+_NAMED = SECRET_NAMES.replace("(passw", "(?:passw").replace("auth", "auth(?!or)") + r"[\w.-]{0,24}"
+# names before a value: 1 and 2 in the query of an address, else 3 and the value 4 in double, 5 in single, 6 in no quotes
+ASSIGNED = (
+    rf"([?&][\w.-]{{0,30}}?{_NAMED}=)([^\s&#\"']{{{LEAST_ASSIGNED},}})"
+    rf"|({_NAMED}(?<![?&][\w.-]{{0,60}})[\"'\]]{{0,2}}[ \t]{{0,3}}(?:=>|:=|==?|:)[ \t]{{0,3}})"
+    rf"(?:\"([^\"\n]{{{LEAST_ASSIGNED},}})\"|'([^'\n]{{{LEAST_ASSIGNED},}})'"
+    rf"|([^\s\"'][^\s\"]{{{LEAST_ASSIGNED - 2},}}[^\s\"',;.)\]}}>]))"
+)
+USER_PASSWORD = rf"(://[^\s/:@\"'<>]{{0,64}}:)(?!\d{{1,5}}[?#])([^\s/\"'<>]{{{LEAST_ASSIGNED},}})(?=@[A-Za-z0-9\[])"
 ISSUED = (
     r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36,}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^sk_(live|test)_[A-Za-z0-9]{16,}$"
     r"|^AIza[A-Za-z0-9_-]{35}$|^eyJ[A-Za-z0-9_-]{16,}$"
@@ -63,17 +75,17 @@ def _row_keys() -> list[Column]:
     return [F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64(F.lit("row"), "text", "doc_id").alias("r2")]
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """Distinct candidates and surroundings in every text: r1, r2, value, before (it, in its word and two words), word."""
+def _runs(rows: DataFrame) -> DataFrame:
+    """r1, r2, whole, value, before (in its word, and two words) and word of every run in a column ``text``."""
     words = F.split("text", r"\s+")
     hits = F.filter(
         F.transform("_words", lambda w, i: F.struct(i.alias("i"), w.alias("word"))),
         lambda x: (F.length(x["word"]) >= LEAST_LENGTH) & x["word"].rlike(CANDIDATE),
     )
     found = (
-        docs.where(F.col("text").rlike(CANDIDATE))
-        .select(*_row_keys(), words.alias("_words"))
-        .select("r1", "r2", "_words", F.explode(hits).alias("hit"))
+        rows.where(F.col("text").rlike(CANDIDATE))
+        .select("r1", "r2", "whole", words.alias("_words"))
+        .select("r1", "r2", "whole", "_words", F.explode(hits).alias("hit"))
     )
     # for the first words of a text fewer words stand before
     start = F.greatest(F.col("hit.i") - 1, F.lit(1))
@@ -82,6 +94,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     split = found.select(
         "r1",
         "r2",
+        "whole",
         F.col("hit.word").alias("word"),
         before.alias("words_before"),
         F.regexp_extract_all("hit.word", F.lit(f"({CANDIDATE})")).alias("values"),
@@ -94,9 +107,52 @@ def candidates(docs: DataFrame) -> DataFrame:
             v.alias("value"), F.concat(F.array_join(F.slice(pairs, F.lit(1), i), ""), F.get("between", i)).alias("inside")
         ),
     )
-    each = split.select("r1", "r2", "word", "words_before", F.explode(places).alias("x"))
+    each = split.select("r1", "r2", "whole", "word", "words_before", F.explode(places).alias("x"))
     context = F.concat_ws(" ", "words_before", "x.inside").alias("before")
-    return each.select("r1", "r2", F.col("x.value").alias("value"), context, "word").distinct()
+    return each.select("r1", "r2", "whole", F.col("x.value").alias("value"), context, "word")
+
+
+def _values(rows: DataFrame) -> DataFrame:
+    """r1, r2, value, before and word of every value assigned to a name and of every password in an address."""
+
+    def assigned(m: Column) -> Column:
+        part = {g: F.regexp_extract(m, ASSIGNED, g) for g in range(1, 7)}
+        quote = F.when(part[4] != "", '"').when(part[5] != "", "'").otherwise("")
+        return F.struct(
+            F.concat(part[2], part[4], part[5], part[6]).alias("value"),
+            F.concat(part[1], part[3], quote).alias("before"),
+            m.alias("word"),
+        )
+
+    def password(m: Column) -> Column:
+        part = [F.regexp_extract(m, r"(?s)^(://[^:]*:)(.*)$", g) for g in (1, 2)]
+        return F.struct(part[1].alias("value"), part[0].alias("before"), F.concat(m, F.lit("@")).alias("word"))
+
+    found = [
+        F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), one)
+        for pattern, one in ((ASSIGNED, assigned), (USER_PASSWORD, password))
+    ]
+    told = rows.where(F.col("text").rlike(SECRET_NAMES) | F.col("text").contains("://"))
+    told = told.select("r1", "r2", F.explode(F.concat(*found)).alias("x"))
+    return told.select("r1", "r2", "x.*").where(F.length("value") >= LEAST_ASSIGNED)
+
+
+def candidates(docs: DataFrame) -> DataFrame:
+    """Distinct candidates and surroundings in every text: r1, r2, whole, value, before, word.
+
+    ``whole`` is the assigned value that a run is inside of, null for all others.
+    """
+    rows = docs.where(F.col("text").isNotNull()).select(*_row_keys(), "text")
+    values = _values(rows)
+    outside = F.when(F.col("text").contains("://"), F.regexp_replace("text", USER_PASSWORD, "$1 ")).otherwise(F.col("text"))
+    outside = F.when(F.col("text").rlike(SECRET_NAMES), F.regexp_replace(outside, ASSIGNED, "$1$3 ")).otherwise(outside)
+    parts = values.where(F.col("value").rlike(CANDIDATE) & ~F.col("value").rlike(f"^{CANDIDATE}$"))
+    parts = _runs(parts.select("r1", "r2", F.col("value").alias("whole"), F.concat("before", "value").alias("text")))
+    none = F.lit(None).cast("string").alias("whole")
+    found = _runs(rows.select("r1", "r2", none, outside.alias("text")))
+    own = ["r1", "r2", "whole", "value", "before", "word"]
+    values = values.select("r1", "r2", none, "value", "before", "word")
+    return found.select(own).unionByName(parts.select(own)).unionByName(values).distinct()
 
 
 def dictionary(docs: DataFrame, count: int = WORD_COUNT) -> DataFrame:
@@ -151,7 +207,7 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
         ((runs - 1) / (length - 1)).alias("changes"),
         follow.alias("follow"),
         F.col("word").rlike(ADDRESS).cast("double").alias("address"),
-        F.col("before").rlike(SECRET_NAMES).cast("double").alias("named"),
+        F.col("before").rlike(f"{SECRET_NAMES}|://[^\\s/:@]*:$").cast("double").alias("named"),
         F.col("before").rlike(r"[=:]\s*[\"']?$").cast("double").alias("assigned"),
         F.col("before").rlike(r"[\"']$").cast("double").alias("quoted"),
     ).withColumn("marks", 1 - F.col("_alnum"))
@@ -173,7 +229,7 @@ def known_label() -> Column:
     """1 for candidates in an issuer's format or assigned to a secret's name, 0 for plainly harmless ones, else null."""
     value = F.col("value")
     random = value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.col("entropy") >= 2.5)
-    named = (F.col("named") == 1) & (F.col("assigned") == 1) & random
+    named = (F.col("named") == 1) & (F.col("assigned") == 1) & random & ~value.rlike(r"\s")
     joined = value.rlike(r"^[A-Za-z]*([-_/+][A-Za-z]*)*$") | value.rlike(r"^[0-9]+([-_/+][0-9]+)*$")
     return F.when(value.rlike(ISSUED) | named, 1).when(joined | (F.col("address") == 1), 0).cast("int")
 
@@ -210,11 +266,18 @@ def findings(docs: DataFrame, accept: float = 0.5) -> DataFrame:
     words = cut_lineage(dictionary(source), "dictionary")
     shaped = cut_lineage(with_features(candidates(source), words), "candidates")
     told = scored(shaped)
-    told = told.groupBy("r1", "r2", "value").agg(F.max("score").alias("score"))
-    secret = F.when(F.col("score") >= accept, F.struct((-F.length("value")).alias("n"), "value", "score"))
+    told = told.groupBy("r1", "r2", "value").agg(
+        F.max("score").alias("score"), F.max(F.col("whole").isNull()).alias("alone"), F.collect_set("whole").alias("wholes")
+    )
+    held = F.when(~F.col("alone"), F.col("wholes")).otherwise(F.array().cast("array<string>")).alias("wholes")
+    secret = F.when(F.col("score") >= accept, F.struct((-F.length("value")).alias("n"), "value", "score", held))
     rows = told.groupBy("r1", "r2").agg(
-        F.count(F.lit(1)).alias("n_candidates"), F.sort_array(F.collect_list(secret)).alias("found")
+        F.count(F.lit(1)).alias("n_candidates"), F.sort_array(F.collect_list(secret)).alias("_found")
     )
+    values = F.transform("_found", lambda x: x["value"])
+    told_by = lambda x: (F.size(x["wholes"]) > 0) & (F.size(F.array_except(x["wholes"], values)) == 0)
+    bare = F.transform(F.filter("_found", lambda x: ~told_by(x)), lambda x: F.struct(x["n"], x["value"], x["score"]))
+    rows = rows.select("r1", "r2", "n_candidates", bare.alias("found"))
     return cut_lineage(rows, "secrets")
 
 

@@ -307,6 +307,30 @@ def test_a_secret_is_judged_at_each_of_its_places(spark):
     assert all(key not in clean[i] for i, key in keys.items())
 
 
+def test_short_and_marked_secrets_are_found(spark):
+    rng = random.Random(6)
+    rows, hexa = _planted(rng)
+    # many of each kind, as the forest learns from what the texts hold
+    mark = lambda: "".join(rng.choices("abcdXYZ!@#.$%", k=9)) + f"x{rng.randrange(1000, 9999)}z"
+    short = lambda: "".join(rng.choices("abcdefXYZ", k=6)) + f"{rng.randrange(100, 999)}q"
+    planted = {}
+    for i in range(500, 560):
+        kinds = [("password={}", short), ('password="{}"', mark), ("db_password: {} and", mark), ("ftp://me:{}@host.example/a", mark),
+                 ("https://x.example/?api_key={}&page=22222222", short)]
+        form, make = kinds[i % 5]
+        planted[i] = make()
+        rows.append((i, "aa bb " + form.format(planted[i]) + " cc dd", "s"))
+    dotted = ".".join(hexa(20) for _ in range(3))
+    rows += [(600, f"token={dotted}, cc", "s"), (601, f"token={dotted} or {dotted.split('.')[0]}", "s")]
+    rows += [(602, "password: required author=Johnson1999x the secret: nothing here", "s"), (603, "http://host:8080/a pass", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n string")
+    got = {r["doc_id"]: [s["value"] for s in r["secrets"]] for r in secrets.scan_documents(docs).collect()}
+    assert {i: got[i] for i in planted} == {i: [v] for i, v in planted.items()}
+    assert got[600] == [dotted] and got[601][0] == dotted and got[602] == got[603] == []
+    clean = {r["doc_id"]: r["text"] for r in secrets.without_secrets(docs).collect()}
+    assert all(value not in clean[i] for i, value in planted.items()) and clean[600] == f"token={secrets.MASK}, cc"
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
