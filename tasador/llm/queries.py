@@ -7,7 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tasador.llm import kmeans_tree, langid, linededup, minhash, packing, pieces, quality, secrets, sitestyle, vafile
+from tasador.llm import (
+    kmeans_tree,
+    langid,
+    linededup,
+    minhash,
+    packing,
+    phrases,
+    pieces,
+    quality,
+    secrets,
+    sharding,
+    sitestyle,
+    turntrie,
+    vafile,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +79,21 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op11_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 24 shards of equal bytes, equal texts together."""
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best collocations of every lang."""
+    return phrases.collocations(table(spark, sf_dir, "documents"), fewest=100, best=2000)
+
+
+def op13_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    return turntrie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
     "op2_pieces": op2_pieces,
@@ -76,6 +105,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_quality": op9_quality,
     "op10_lines": op10_lines,
+    "op11_shards": op11_shards,
+    "op12_phrases": op12_phrases,
+    "op13_turn_trie": op13_turn_trie,
 }
 
 ORACLES: dict[str, str] = {
