@@ -15,18 +15,18 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tasador.llm.words import mix
 from tasador.plans.blocks import positions
 from tasador.plans.joins import checked_join
-from tasador.plans.lineage import cut_lineage, cut_measured
+from tasador.plans.lineage import cut_lineage
 
 LONGEST = 5
 FEWEST = 100
 BEST = 2000
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 FILTER_BITS = 26  # of a table that tells what may be frequent; its size never changes
 _KEY = [f"w{i + 1}" for i in range(LONGEST)]
 
@@ -81,7 +81,7 @@ _held: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse."""
     if not _held or len(_held["up"]) < n:
-        size = 1 << max(CHUNK_BYTES + 1, n).bit_length()
+        size = max(CHUNK_BYTES + 1, n)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
@@ -105,8 +105,8 @@ def _chunks(batches: Iterator[pd.DataFrame], seed: int) -> Iterator[tuple[_Token
         yield _Tokens(texts, langs, seed), langs
 
 
-def _counted(columns: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First places and counts of equal rows, and a hash of each; rows with equal hashes are told apart."""
+def _counted(columns: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """First places and counts of equal rows; rows with equal hashes are told apart."""
     hashed = columns[0]
     for c in columns[1:]:
         hashed = mix(hashed * _STEP + c)
@@ -117,7 +117,7 @@ def _counted(columns: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.
         ranked = c[order]
         new[1:] |= ranked[1:] != ranked[:-1]
     starts = np.flatnonzero(new)
-    return order[starts], np.diff(np.append(starts, len(order))), hashed[order[starts]]
+    return order[starts], np.diff(np.append(starts, len(order)))
 
 
 def _passes(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -146,7 +146,7 @@ def _words(seed: int) -> Callable:
             if not len(tokens.ids):
                 continue
             # the second hash tells words with one id apart
-            first, count, _ = _counted([tokens.ids, tokens.hashes(-seed % 2**32)])
+            first, count = _counted([tokens.ids, tokens.hashes(-seed % 2**32)])
             docs = tokens.doc[first]
             yield pd.DataFrame(
                 {
@@ -156,6 +156,10 @@ def _words(seed: int) -> Callable:
                     "f": count,
                 }
             )
+            # a row without a word is the number of all words of its lang
+            doc = np.bincount(tokens.doc, minlength=len(langs))
+            every = pd.DataFrame({"lang": langs, "f": doc}).groupby("lang", as_index=False)["f"].sum()
+            yield pd.DataFrame({"id": 0, "lang": every["lang"], "word": None, "f": every["f"]})
 
     return run
 
@@ -167,8 +171,8 @@ def _pairs(seed: int, words) -> Callable:
             at = np.flatnonzero(tokens.follows[:-1] & good[:-1] & good[1:])
             if len(at):
                 a, b = tokens.ids[at], tokens.ids[at + 1]
-                first, count, hashed = _counted([a, b])
-                yield pd.DataFrame({"w1": _signed(a[first]), "w2": _signed(b[first]), "hash": _signed(hashed), "f": count})
+                hashed, count = np.unique(mix(a * _STEP + b), return_counts=True)
+                yield pd.DataFrame({"hash": _signed(hashed), "f": count})
 
     return run
 
@@ -183,7 +187,7 @@ def _windows(seed: int, words, pairs) -> Callable:
                 link[: n - 1] = tokens.follows[:-1] & good[:-1] & good[1:]
                 at = np.flatnonzero(link[: n - 1])
                 link[at] = _passes(pairs.value, mix(ids[at] * _STEP + ids[at + 1]))
-            at = np.flatnonzero(link[:n] & link[1 : n + 1])
+            at = np.flatnonzero(link[:n])
             if not len(at):
                 continue
             padded = np.concatenate((ids, np.zeros(LONGEST, np.uint64)))
@@ -191,7 +195,7 @@ def _windows(seed: int, words, pairs) -> Callable:
             for k in range(2, LONGEST):
                 goes = goes & link[at + k - 1]
                 columns.append(np.where(goes, padded[at + k], np.uint64(0)))
-            first, count, _ = _counted(columns)
+            first, count = _counted(columns)
             yield pd.DataFrame({**{name: _signed(c[first]) for name, c in zip(_KEY, columns)}, "f": count})
 
     return run
@@ -199,10 +203,10 @@ def _windows(seed: int, words, pairs) -> Callable:
 
 def _prefix_counts(fewest: int) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Counts of phrases of 3 words and more in sorted windows; parts of what crosses a batch's edge."""
+        """Counts of phrases of 2 words and more in sorted windows; parts of what crosses a batch's edge."""
         for batch in batches:
             words, f = batch[_KEY].to_numpy(np.int64), batch["f"].to_numpy(np.int64)
-            for k in range(3, LONGEST + 1):
+            for k in range(2, LONGEST + 1):
                 at = np.flatnonzero(words[:, k - 1])
                 if not len(at):
                     continue
@@ -233,20 +237,21 @@ def count_phrases(docs: DataFrame, fewest: int = FEWEST) -> tuple[DataFrame, Dat
     while clashes:
         seed += 1
         told = docs.mapInPandas(_words(seed), "id long, lang string, word string, f long")
-        grouped = told.groupBy("id").agg(
+        grouped = told.groupBy("id", F.when(F.col("word").isNull(), F.col("lang")).alias("of")).agg(
             F.sum("f").alias("f"), *[g(c).alias(f"{c}{n}") for c in ("lang", "word") for n, g in enumerate((F.min, F.max))]
         )
         clash = F.count_if((F.col("lang0") != F.col("lang1")) | (F.col("word0") != F.col("word1")))
+        seen = Observation()
         # two words with one id: all again with other ids
-        vocabulary, found = cut_measured(grouped, "vocabulary", clashes=clash)
-        clashes = found["clashes"]
-    totals = vocabulary.groupBy(F.col("lang0").alias("lang")).agg(F.sum("f").alias("n"))
-    words = vocabulary.where(F.col("f") >= fewest).select("id", F.col("lang0").alias("lang"), F.col("word0").alias("word"), "f")
-    words = cut_lineage(words, "words")
+        kept = grouped.observe(seen, clash.alias("clashes")).where((F.col("f") >= fewest) | F.col("of").isNotNull())
+        kept = cut_lineage(kept.select("id", F.col("lang0").alias("lang"), F.col("word0").alias("word"), "f"), "words")
+        clashes = seen.get["clashes"]
+    totals = kept.where("word is null").select("lang", F.col("f").alias("n"))
+    words = kept.where("word is not null")
     word_bits = spark.sparkContext.broadcast(_filter_table(words, "id"))
-    pairs = docs.mapInPandas(_pairs(seed, word_bits), "w1 long, w2 long, hash long, f long")
-    pairs = pairs.groupBy("w1", "w2", "hash").agg(F.sum("f").alias("f")).where(F.col("f") >= fewest)
-    pairs = cut_lineage(pairs, "pairs")
+    # a pair's hash is enough to rule it out; what passes by chance is counted exactly with the rest
+    pairs = docs.mapInPandas(_pairs(seed, word_bits), "hash long, f long")
+    pairs = pairs.groupBy("hash").agg(F.sum("f").alias("f")).where(F.col("f") >= fewest)
     pair_bits = spark.sparkContext.broadcast(_filter_table(pairs, "hash"))
     counted = ", ".join(f"{w} long" for w in _KEY) + ", f long"
     windows = docs.mapInPandas(_windows(seed, word_bits, pair_bits), counted)
@@ -255,7 +260,6 @@ def count_phrases(docs: DataFrame, fewest: int = FEWEST) -> tuple[DataFrame, Dat
     longer = ordered.mapInPandas(_prefix_counts(fewest), counted).groupBy(*_KEY).agg(F.sum("f").alias("f"))
     stream = (
         words.select(*[c.alias(n) for c, n in zip(_padded([F.col("id")]), _KEY)], "f")
-        .unionByName(pairs.select(*[c.alias(n) for c, n in zip(_padded([F.col("w1"), F.col("w2")]), _KEY)], "f"))
         .unionByName(longer.where(F.col("f") >= fewest))
     )
     length = sum(((F.col(w) != 0).cast("int") for w in _KEY[1:]), F.lit(1))

@@ -171,7 +171,7 @@ def test_words_with_one_id_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(phrases._Tokens, "hashes", weak)
     tokens = phrases._Tokens(texts, ["en"], 1)
     assert len(set(tokens.ids.tolist())) < 8
-    first, _, _ = phrases._counted([tokens.ids, tokens.hashes(7)])
+    first, _ = phrases._counted([tokens.ids, tokens.hashes(7)])
     assert len(first) == 8, "words with one id are rows of their own, so the table shows the clash"
 
 
