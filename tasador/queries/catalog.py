@@ -7,17 +7,18 @@ from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tasador.functions import money
 from tasador.functions.text import parse_id_list, strip_accents
-from tasador.operators import features, incremental, matching, models, pages, reports, selection, stats
+from tasador.operators import features, incremental, matching, models, pages, prefindex, reports, selection, stats, summaries, trees
 from tasador.plans.joins import checked_join
-from tasador.plans.lineage import cut_lineage, fresh_path
+from tasador.plans.lineage import cut_lineage, cut_measured, fresh_path
 from tasador.queries import views
 from tasador.sources import files, outbox
-from tasador.streaming import jobs
+from tasador.sources.models import load_model, save_model
+from tasador.streaming import jobs, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -302,6 +303,14 @@ def match_quirks(spark, sf_dir):
     )
 
 
+@query
+def match_indexed(spark, sf_dir):
+    """The same pairs from a preference index that has been saved and read again."""
+    path = fresh_path(spark, "index")
+    prefindex.build_index(views.clients(spark, sf_dir)).save(path)
+    return prefindex.match_indexed(views.listings(spark, sf_dir), prefindex.load_index(spark, path))
+
+
 def _reported(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.match_preferences(opportunities(spark, sf_dir), views.clients(spark, sf_dir))
 
@@ -328,19 +337,26 @@ def interested_counts(spark, sf_dir):
     return matching.interested(chosen, matches).select("id", "n_clientes")
 
 
-def _new_opportunities(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """New listings of a run (known are those met before), and the under-priced among them."""
+def _new_opportunities(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, dict]:
+    """New listings of a run, the under-priced among them, and how many of both were written.
+
+    Known are the ids that an earlier run has recorded: listings ordered before its day.
+    """
+    recorded = fresh_path(spark, "known")
+    files.append_known_ids(spark, views.earlier_ids(spark, sf_dir), recorded)
     df = cut_lineage(views.listings(spark, sf_dir), "listings")
-    fresh = incremental.new_ids(df, df.where(F.col("id") % 10 != 0))
-    arrived = cut_lineage(incremental.keep_ids(scored(df, area_rates(df)), fresh), "arrived")
-    return arrived, cut_lineage(selection.select_opportunities(with_margin(arrived)), "chosen")
+    fresh = incremental.new_ids(df, files.read_known_ids(spark, recorded))
+    rows = {"rows": F.count("*")}
+    arrived, found = cut_measured(incremental.keep_ids(scored(df, area_rates(df)), fresh), "arrived", **rows)
+    chosen, kept = cut_measured(selection.select_opportunities(with_margin(arrived)), "chosen", **rows)
+    return arrived, chosen, {"found": found["rows"], "kept": kept["rows"]}
 
 
 @query
 def daily_run(spark, sf_dir):
     """New listings only: scored, selected, matched, listed with their clients, ready for review."""
-    _, chosen = _new_opportunities(spark, sf_dir)
-    matches = matching.match_preferences(chosen, views.clients(spark, sf_dir))
+    _, chosen, _ = _new_opportunities(spark, sf_dir)
+    matches = prefindex.match_indexed(chosen, prefindex.build_index(views.clients(spark, sf_dir)))
     lists = matching.collect_clients(matches, chosen).withColumnRenamed("listing_id", "id")
     sheet = reports.for_review(chosen, views.URL_BASE).join(lists, "id")
     return sheet.select(
@@ -357,9 +373,10 @@ def daily_run(spark, sf_dir):
 @query
 def run_counts(spark, sf_dir):
     """How many listings a run found, kept and matched."""
-    arrived, chosen = _new_opportunities(spark, sf_dir)
-    matches = matching.match_preferences(chosen, views.clients(spark, sf_dir))
-    return reports.run_counts("daily", arrived, chosen, matches)
+    _, chosen, counts = _new_opportunities(spark, sf_dir)
+    matches = prefindex.match_indexed(chosen, prefindex.build_index(views.clients(spark, sf_dir)))
+    matches, met = cut_measured(matches, "matches", matches=F.count("*"))
+    return reports.run_counts("daily", matches, **counts, matches=met["matches"])
 
 
 # ----------------------------------------------------------------- comparisons
@@ -430,6 +447,52 @@ def rate_kde(spark, sf_dir):
     return _curve(stats.kde(rated(spark, sf_dir), "eur_m2", ["Localizacion"], grid=50, bins=25))
 
 
+def _merged_summaries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Listings merged batch by batch, one of them handed in twice."""
+    path = fresh_path(spark, "summaries")
+    df = cut_lineage(views.listings(spark, sf_dir), "listings")
+    for part in (0, 1, 2, 1):
+        batch = df.where(F.pmod(F.hash("id"), 3) == part)
+        summaries.merge_batch(batch, path, "ano_construccion", "Precio", ["Localizacion"], 10000.0, f"day {part}")
+    return summaries.read_summaries(spark, path)
+
+
+@query
+def summary_trend(spark, sf_dir):
+    """The trend of every location from merged moments."""
+    merged, _ = _merged_summaries(spark, sf_dir)
+    return summaries.trend(merged, ["Localizacion"]).where("n > 0").select(
+        F.col("Localizacion").alias("localizacion"), "n", *[rounded(c, 4) for c in ("slope", "intercept", "r2")]
+    )
+
+
+@query
+def summary_bins(spark, sf_dir):
+    """Merged counts of prices in bins of 10000."""
+    _, bins = _merged_summaries(spark, sf_dir)
+    return bins.select(F.col("Localizacion").alias("localizacion"), "bin", "n")
+
+
+@query
+def summary_moments(spark, sf_dir):
+    """Merged moments, and whether each sketched quantile's rank is within the stated error."""
+    merged, _ = _merged_summaries(spark, sf_dir)
+    probs = (0.02, 0.25, 0.5, 0.75, 0.98)
+    told = summaries.quantile(merged, probs, ["Localizacion"]).select("Localizacion", F.posexplode("q").alias("i", "q"))
+    ranks = views.listings(spark, sf_dir).select("Localizacion", "Precio").join(F.broadcast(told), "Localizacion")
+    ranks = ranks.groupBy("Localizacion", "i", "q").agg(
+        F.avg((F.col("Precio") < F.col("q")).cast("int")).alias("below"), F.avg((F.col("Precio") <= F.col("q")).cast("int")).alias("upto"), F.count("*").alias("of")
+    )
+    prob = F.get(F.array(*[F.lit(p) for p in probs]), F.col("i"))
+    slack = summaries.RANK_ERROR + 1 / F.col("of")
+    within = (F.col("below") <= prob + slack) & (F.col("upto") >= prob - slack)
+    good = ranks.groupBy("Localizacion").agg(F.bool_and(within).alias("within"))
+    deviation = F.sqrt(F.try_divide("m2", F.col("n") - 1))
+    return merged.join(good, "Localizacion").select(
+        F.col("Localizacion").alias("localizacion"), "n", F.round("mean", 4).alias("mean"), F.round(deviation, 4).alias("sd"), "lo", "hi", "within"
+    )
+
+
 @query
 def area_box(spark, sf_dir):
     box = stats.box_stats(views.listings(spark, sf_dir), "m2_construidos", ["Localizacion"])
@@ -591,7 +654,7 @@ def outbox_two_runs(spark, sf_dir):
         ready = chosen.where(F.col("id") % 2 == part).select(F.col("id").alias("listing_id"))
         mails, _ = reports.report_messages(people, matches, ready, BRAND, run)
         like = cut_lineage(mails, "mails")
-        outbox.write_outbox(like, path, outbox.KEYS["messages"])
+        outbox.write_outbox(like, path, outbox.KEYS["messages"], run)
     return outbox.read_outbox(spark, path, like).select("client_id", "kind", "run", "n_reports")
 
 
@@ -687,7 +750,7 @@ def known_ids_append(spark, sf_dir):
     path = fresh_path(spark, "known")
     for _ in range(2):
         files.append_known_ids(spark, parsed, path)
-    return spark.read.parquet(path)
+    return files.read_known_ids(spark, path)
 
 
 # ---------------------------------------------------------------------- models
@@ -758,21 +821,18 @@ def _training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # few candidates and few trees, but a search with something to choose from
 SMALL_GRIDS = {
-    "forest": {"numTrees": [10, 20], "featureSubsetStrategy": ["all"]},
-    "bagging": {"numTrees": [10], "subsamplingRate": [0.5, 0.7], "featureSubsetStrategy": ["0.7"]},
-    "boosting": {"maxIter": [5, 10], "maxDepth": [3], "stepSize": [0.1]},
+    "forest": {"numTrees": [10, 20], "minSplit": [2, 10], "minInstancesPerNode": [1, 2], "featureSubsetStrategy": ["all"]},
+    "bagging": {"members": [4, 6], "rows": [0.7, 1.0], "features": [0.7, 1.0], "bootstrap": [True, False]},
+    "boosting": {"maxIter": [5, 10], "maxDepth": [3], "stepSize": [0.1, 0.3]},
     "kernel": {"gamma": [0.005, 0.02], "penalty": [100.0]},
 }
+SMALL_DRAWS = 2
 SMALL_FIXED = {"forest": {"maxDepth": 6}, "bagging": {"maxDepth": 6}, "kernel": {"components": 64}, "boosting": {}}
 
 
 def _trained(spark: SparkSession, sf_dir: str, presets: list[str]) -> tuple[DataFrame, dict, DataFrame]:
     df = _training_set(spark, sf_dir)
-    fitted, tested = {}, []
-    for preset in presets:
-        fitted[preset], metrics = models.train_model(df, preset, SMALL_GRIDS[preset], SMALL_FIXED[preset])
-        tested.append(cut_lineage(metrics, "tested"))
-    return df, fitted, reduce(DataFrame.unionByName, tested)
+    return df, *models.train_models(df, presets, SMALL_GRIDS, SMALL_FIXED, draws=SMALL_DRAWS)
 
 
 def _scores(spark: SparkSession, sf_dir: str, preset: str) -> DataFrame:
@@ -783,7 +843,7 @@ def _scores(spark: SparkSession, sf_dir: str, preset: str) -> DataFrame:
     """
     df, fitted, tested = _trained(spark, sf_dir, [preset])
     chosen = fitted[preset].params
-    drawn = models.draw_params(SMALL_GRIDS[preset], 10)
+    drawn = models.draw_params(SMALL_GRIDS[preset], SMALL_DRAWS)
     among = any(all(chosen[k] == v for k, v in c.items()) for c in drawn)
     out = models.score_listings(df, fitted, {preset: 1.0})
     off = F.abs(F.col("Diferencia_Ponderada") - (F.col("estimate") - F.col("Precio"))) > 1e-6
@@ -834,14 +894,72 @@ def weighted_scores(spark, sf_dir):
 
 @query
 def depth_metrics(spark, sf_dir):
-    """Trimmed error of three forest depths over five folds: folds and depths complete, every row told once."""
+    """Depth search over 3 to 19 and five folds: every row told once per depth, and better than by the mean.
+
+    ``least`` holds if no depth has a smaller mean error than the chosen one.
+    """
     train, _ = models.split_train_test(models.prepare_training(_training_set(spark, sf_dir)))
-    told = cut_lineage(models.depth_predictions(train, (3, 5, 7), folds=5, trees=5), "told")
-    rows = told.groupBy("model", "fold").agg(
+    chosen, told = models.depth_search(train, models.DEPTHS, folds=5, trees=3)
+    rows = told.groupBy(F.col("model").cast("int").alias("depth"), "fold").agg(
         F.count("*").alias("told"), F.countDistinct("id").alias("ids"), F.count("y_hat").alias("values")
     )
-    scored = models.trimmed_metrics(told).select("model", "fold", (F.col("n") <= F.lit(1e18)).alias("scored"))
-    return rows.join(scored, ["model", "fold"]).select("model", "fold", "told", "ids", "values", "scored")
+    metrics = cut_lineage(models.depth_metrics(told), "metrics")
+    mean = metrics.groupBy("depth").agg(F.avg("mse").alias("mean"))
+    # one row a depth
+    least = mean.join(F.broadcast(mean.where(F.col("depth") == chosen).select(F.col("mean").alias("best")))).select(
+        "depth", (F.col("mean") >= F.col("best")).alias("least")
+    )
+    finite = F.col("mse").isNotNull() & ~F.isnan("mse") & (F.col("mse") < float("inf")) & (F.col("mse") >= 0)
+    scored = metrics.select("depth", "fold", finite.alias("finite"), (F.col("r2") > 0).alias("better"))
+    return rows.join(scored, ["depth", "fold"]).join(F.broadcast(least), "depth").select(
+        "depth", "fold", "told", "ids", "values", "finite", "better", "least"
+    )
+
+
+@query
+def subspace_members(spark, sf_dir):
+    """Bagged trees over half the columns and rows: what each member's nodes use.
+
+    ``own`` holds if all its splits are in its own columns, ``half`` if these are half of all, and
+    ``differs`` if another member has other columns.
+    """
+    train = models.prepare_training(_training_set(spark, sf_dir))
+    encoded = cut_lineage(Pipeline(stages=models.feature_stages(train)).fit(train).transform(train).select("features", "Precio"))
+    ensemble = trees.SubspaceForest(members=5, rows=0.5, features=0.5, labelCol="Precio", maxDepth=6)
+    forest = ensemble.fit(encoded)
+    width = forest.numFeatures
+    own = ensemble.columns(width)
+    rows = [(i, columns, len(columns) == width // 2, any(c != columns for c in own)) for i, columns in enumerate(own)]
+    members = spark.createDataFrame(rows, "member int, columns array<int>, half boolean, differs boolean")
+    nodes = trees.tree_nodes(spark, forest).where("leftChild >= 0").withColumnRenamed("treeID", "member")
+    used = nodes.join(F.broadcast(members), "member").groupBy("member", "half", "differs").agg(
+        F.bool_and(F.array_contains("columns", F.col("split.featureIndex"))).alias("own"), (F.count("*") > 0).alias("splits")
+    )
+    return used.select("member", "own", "half", "differs", "splits")
+
+
+@query
+def split_sizes(spark, sf_dir):
+    """A forest grown with a least number of rows to split, saved and read again.
+
+    Listings and those with equal values from both models, inner nodes below the bound, and whether the
+    bound has made leaves of nodes that would have been split.
+    """
+    train = models.prepare_training(_training_set(spark, sf_dir))
+    params = {"numTrees": 4, "maxDepth": 8, "featureSubsetStrategy": "all"}
+    plain = models.fit(train, "forest", params).model.stages[-1]
+    fitted = models.fit(train, "forest", {**params, "minSplit": 40})
+    path = fresh_path(spark, "model")
+    save_model(fitted.model, path)
+    again = load_model(path)
+    both = fitted.model.transform(train).select("id", "prediction").join(
+        again.transform(train).select("id", F.col("prediction").alias("again")), "id"
+    )
+    equal = both.agg(F.count("*").alias("listings"), F.count_if(F.col("prediction") == F.col("again")).alias("equal"))
+    inner = lambda model: trees.tree_nodes(spark, model).where("leftChild >= 0")
+    cut = inner(again.stages[-1]).agg(F.count_if(F.col("rawCount") < 40).alias("small"), F.count("*").alias("inner"))
+    grown = inner(plain).agg(F.count("*").alias("grown"))
+    return equal.join(cut).join(grown).select("listings", "equal", "small", (F.col("inner") < F.col("grown")).alias("fewer"))
 
 
 # --------------------------------------------------------------------- streams
@@ -856,24 +974,45 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stream_new_ids(spark, sf_dir):
     arriving = _stream(spark, sf_dir, "events").select(F.col("user_id").alias("id"), "event_id")
     sink = fresh_path(spark, "new-ids")
-    jobs.new_listings_stream(
-        arriving, lambda: views.known_ids(spark, sf_dir), sink, fresh_path(spark, "state"), "event_id"
-    )
+    state.unseen_stream(arriving, views.known_ids(spark, sf_dir), sink, fresh_path(spark, "state"), "event_id")
     return spark.read.parquet(sink).select("id", "event_id")
 
 
+def _in_parts(df: DataFrame, parts: int, by: str) -> DataFrame:
+    """A stream of the rows in ``parts`` files, one micro-batch each."""
+    source = fresh_path(df.sparkSession, "arriving")
+    df.repartition(parts, F.expr(by)).write.parquet(source)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
+
+
 @query
 def stream_unique(spark, sf_dir):
     """Every id once, over several batches that arrive out of order."""
-    source = fresh_path(spark, "arriving")
     seen = views.table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), "event_id")
-    seen.repartition(4, F.col("event_id") % 4).write.parquet(source)
-    arriving = spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    arriving = _in_parts(seen, 4, "event_id % 4")
     sink = fresh_path(spark, "unique")
-    jobs.new_listings_stream(arriving, None, sink, fresh_path(spark, "state"), "event_id")
+    state.unseen_stream(arriving, None, sink, fresh_path(spark, "state"), "event_id")
     return spark.read.parquet(sink).select("id")
 
 
+@query
+def stream_streak_cut(spark, sf_dir):
+    """The seen-streak cut of every day's run, pages of 30 sightings arriving in any order."""
+    nth = F.row_number().over(Window.partitionBy("run").orderBy("newest", "event_id")) - 1
+    rows = views.sightings(spark, sf_dir).withColumn("nth", nth)
+    size = F.count("*").over(Window.partitionBy("run", "page"))
+    pages_ = rows.withColumn("page", F.floor(F.col("nth") / 30) + 1).select(
+        "run", "page", (F.col("nth") % 30).cast("int").alias("pos"), size.cast("int").alias("items"), "id", F.col("event_id").alias("ref")
+    )
+    flagged, sink = fresh_path(spark, "flagged"), fresh_path(spark, "met")
+    state.known_flags_stream(
+        _in_parts(cut_lineage(pages_, "pages"), 3, "hash(run, page)"), views.known_ids(spark, sf_dir), flagged, fresh_path(spark, "state")
+    )
+    arriving = spark.readStream.schema(state.RUN_ROWS).parquet(flagged)
+    state.streak_stream(arriving, sink, fresh_path(spark, "state"))
+    return spark.read.parquet(sink).select("run", "id", F.col("ref").alias("event_id"))
+
+
 @query
 def stream_features(spark, sf_dir):
     def extract(parts: DataFrame) -> DataFrame:
@@ -897,4 +1036,4 @@ def stream_notify(spark, sf_dir):
         fresh_path(spark, "state"),
         with_margin,
     )
-    return spark.read.parquet(path)
+    return outbox.read_outbox(spark, path, spark.createDataFrame([], "client_id long, listing_id long"))

@@ -7,7 +7,7 @@ the facts from the base columns instead of reading the text again.
 from __future__ import annotations
 
 from tasador.queries.catalog import BRAND, SENDER, TEMPLATE
-from tasador.queries.views import KNOWN_BEFORE, URL_BASE
+from tasador.queries.views import KNOWN_BEFORE, RUN_DAY, URL_BASE
 
 LISTINGS = """
 sizes as (
@@ -352,6 +352,7 @@ def _elem(pattern: str) -> str:
 
 
 _SERVED = "event_id // 30 % 11 <> 10"
+_ARRIVED = f"select o_orderkey from orders where o_orderdate >= timestamp '{RUN_DAY}'"
 _KNOWN = f"select distinct user_id from events where event_type = 'signup' and ts < timestamp '{KNOWN_BEFORE}'"
 
 ORACLES: dict[str, str] = {
@@ -484,11 +485,11 @@ select client_id, 0 as part, string_agg(listing_id, ',' order by listing_id) as
 select id, round(any_value(diferencia), 2) as diferencia, 0 as part,
        coalesce(string_agg(client_id, ',' order by client_id), '') as clients,
        cast(count(client_id) as int) as n, 'No' as seleccionado, '{URL_BASE}' || id || '/' as enlace
-from chosen left join matches on id = listing_id where id % 10 = 0 group by id""",
+from chosen left join matches on id = listing_id where id in ({_ARRIVED}) group by id""",
     "run_counts": f"""with {REPORTED}
-select 'daily' as run, (select count(*) from l where id % 10 = 0) as found,
-       (select count(*) from chosen where id % 10 = 0) as kept,
-       count(distinct listing_id) as matched, count(*) as matches from matches where listing_id % 10 = 0""",
+select 'daily' as run, (select count(*) from l where id in ({_ARRIVED})) as found,
+       (select count(*) from chosen where id in ({_ARRIVED})) as kept,
+       count(distinct listing_id) as matched, count(*) as matches from matches where listing_id in ({_ARRIVED})""",
     "outbox_two_runs": f"""with {REPORTED}
 select client_id, 'report' as kind, case when listing_id % 2 = 0 then 'monday' else 'tuesday' end as run,
        count(*) as n_reports from matches group by 1, 2, 3""",
@@ -527,10 +528,14 @@ select id, {USABLE} as forest, {USABLE} as bagging, {USABLE} as boosting, true a
 told as (
   select cast(cast(('0x' || substr(md5(id || ':43'), 1, 8)) as bigint) % 5 as int) as fold
   from l where {USABLE} and cast(('0x' || substr(md5(id || ':42'), 1, 8)) as bigint) % 5 <> 0)
-select model, fold, count(*) as told, count(*) as ids, count(*) as values, true as scored
-from told, (select unnest(['3', '5', '7']) as model) group by 1, 2""",
+select depth, fold, count(*) as told, count(*) as ids, count(*) as values, true as finite, true as better, true as least
+from told, (select cast(unnest(range(3, 20)) as int) as depth) group by 1, 2""",
     "interested_counts": f"""with {REPORTED}
 select listing_id as id, count(*) as n_clientes from matches group by 1""",
+    "subspace_members": """
+select cast(unnest(range(5)) as int) as member, true as own, true as half, true as differs, true as splits""",
+    "split_sizes": f"""with {LISTINGS}
+select count(*) as listings, count(*) as equal, 0 as small, true as fewer from l where {USABLE}""",
     "condition_share": f"""with {LISTINGS}
 select localizacion, estado_vivienda, count(*) as n,
        round(count(*) * 100.0::double / sum(count(*)) over (partition by localizacion), 6) as pct
@@ -552,6 +557,13 @@ select loc as localizacion, cast(v as bigint) as value, coalesce(n, 0) as n
 from every left join counted on localizacion = loc and habitaciones = v""",
     "price_kde": f"with {LISTINGS}, {_kde('l', 'precio', 30)}",
     "rate_kde": f"with {RATED}, {_kde('rated', 'eur_m2', 25)}",
+    "summary_bins": f"""with {LISTINGS}
+select localizacion, cast(floor(precio / 10000) as bigint) as bin, count(*) as n
+from l where localizacion is not null and precio is not null group by 1, 2""",
+    "summary_moments": f"""with {LISTINGS}
+select localizacion, count(*) as n, round(avg(precio), 4) as mean, round(stddev_samp(precio), 4) as sd,
+       min(cast(precio as double)) as lo, max(cast(precio as double)) as hi, true as within
+from l where localizacion is not null and precio is not null group by 1""",
     "area_box": f"with {LISTINGS}, {_box('l', 'm2_construidos', 'localizacion')} {_box_rows('localizacion')}",
     "rooms_box": f"with {RATED}, {_box('rated', 'eur_m2', 'habitaciones')} {_box_rows('habitaciones')}",
     "rate_outliers": f"""with {RATED}, {_box('rated', 'eur_m2', 'habitaciones')}
@@ -623,6 +635,9 @@ where user_id not in ({_KNOWN}) group by 1""",
     "stream_unique": "select distinct user_id as id from events",
     "stream_notify": f"with {REPORTED} select client_id, listing_id from matches",
 }
+ORACLES["summary_trend"] = ORACLES["trend_year"]
+ORACLES["match_indexed"] = ORACLES["match_preferences"]
+ORACLES["stream_streak_cut"] = ORACLES["seen_streak_cut"]
 ORACLES["index_ids"] = f"""select page, pos, id from ({ORACLES['index_ids']}) where event_type <> 'error'"""
 ORACLES["stream_features"] = f"""select f.id, m2_utiles, banos, ascensor, estado_vivienda, piscina
 from ({ORACLES['feature_ints']}) f join ({ORACLES['feature_flags']}) g on f.id = g.id

@@ -282,6 +282,7 @@ def index_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 KNOWN_BEFORE = "2024-01-04"
+RUN_DAY = "2001-01-01"
 
 
 def known_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,6 +291,12 @@ def known_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.where((F.col("event_type") == "signup") & early).select(F.col("user_id").alias("id"))
 
 
+def earlier_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings that an earlier daily run has met: orders placed before its day."""
+    before = F.col("o_orderdate") < F.lit(RUN_DAY).cast("timestamp_ntz")
+    return table(spark, sf_dir, "orders").where(before).select(F.col("o_orderkey").alias("id"))
+
+
 def micros(ts: Column) -> Column:
     """Microseconds since 1970 of a time without zone."""
     days = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("long")

@@ -60,7 +60,8 @@ def test_preparation_variants(listings):
     "preset, params",
     [
         ("forest", {"numTrees": 10, "maxDepth": 5}),
-        ("bagging", {"numTrees": 10, "maxDepth": 5, "bootstrap": False, "subsamplingRate": 0.7}),
+        ("bagging", {"members": 6, "maxDepth": 5, "bootstrap": False, "rows": 0.7, "features": 0.7}),
+        ("forest", {"numTrees": 6, "maxDepth": 8, "minSplit": 10}),
         ("boosting", {"maxIter": 10, "maxDepth": 3}),
         ("kernel", {"gamma": 0.01, "penalty": 100.0, "components": 200}),
     ],
@@ -105,7 +106,7 @@ def test_training_and_scoring(spark, listings, preset, grid):
 
 def test_depth_search(listings):
     train, _ = models.split_train_test(models.prepare_training(listings))
-    assert models.depth_search(train, depths=[1, 4], folds=2, trees=3) == 4
+    assert models.depth_search(train, depths=[1, 4], folds=2, trees=3)[0] == 4
 
 
 def test_draws_are_seeded_and_distinct():

@@ -263,6 +263,28 @@ def test_kde_equals_the_formula(spark):
     assert [r["density"] for r in rows] == pytest.approx(list(density))
 
 
+@pytest.mark.parametrize("spread", ["even", "far", "equal"])
+def test_kde_stays_within_its_bound(spark, spread):
+    rng = np.random.default_rng(4)
+    xs = {"even": rng.normal(100, 30, 3000), "far": np.append(rng.normal(0, 1, 400), [1e6, -1e5]), "equal": np.append(np.full(500, 7.0), [8.0] * 90)}
+    rows = [("g", float(x)) for x in xs[spread]] + [("none", 3.0)] * 4 + [("g", None), (None, 5.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = stats.kde(df, "x", ["g"], grid=200).orderBy("point").collect()
+    own = xs[spread]
+    h = own.std(ddof=1) * len(own) ** -0.2
+    at = np.linspace(own.min(), own.max(), 200)
+    exact = np.exp(-0.5 * ((at[:, None] - own) / h) ** 2).sum(axis=1)
+    sums = np.array([r["density"] for r in got]) * (len(own) * h * np.sqrt(2 * np.pi))
+    assert len(got) == 200 and {r["g"] for r in got} == {"g"}
+    assert np.abs(sums - exact).max() < 1e-9 * len(own)
+
+
+def test_kde_shuffles_boxes_not_points(spark):
+    df = spark.range(5000).selectExpr("CAST(id % 977 AS DOUBLE) AS x")
+    plan = stats.kde(df, "x", grid=50)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode(sequence(0, 49") == 1, "only the empty grid is written out, values are not"
+
+
 def test_shares_and_rooms(spark):
     df = spark.createDataFrame([("x", "a", 1), ("x", "a", 1), ("x", "b", 3), ("x", None, None)], "g string, c string, r int")
     shares = {r["c"]: r["pct"] for r in stats.value_share(df, "c", ["g"]).collect()}
@@ -294,7 +316,7 @@ def test_known_ids_and_listings_on_disk(spark, tmp_path):
     parsed = spark.createDataFrame([(1,), (2,), (2,), (None,)], "id long")
     for _ in range(2):
         files.append_known_ids(spark, parsed, ids)
-    assert spark.read.parquet(ids).count() == 2
+    assert sorted(r["id"] for r in files.read_known_ids(spark, ids).collect()) == [1, 2]
     batch = spark.createDataFrame([(1, "a"), (2, "b")], "id long, x string")
     for _ in range(2):
         files.append_listings(spark, batch, homes)
@@ -338,7 +360,7 @@ def test_outbox_takes_each_key_once(spark, tmp_path):
     later = spark.createDataFrame([(1, "report", "tu", "c")], columns)
     for part in (rows, rows, later, later):
         outbox.write_outbox(part, str(tmp_path / "o"), outbox.KEYS["messages"])
-    waiting = spark.read.parquet(str(tmp_path / "o"))
+    waiting = outbox.read_outbox(spark, str(tmp_path / "o"), rows)
     assert sorted((r["client_id"], r["run"]) for r in waiting.collect()) == [(1, "mo"), (1, "tu"), (2, "mo")]
 
 
