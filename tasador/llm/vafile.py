@@ -8,15 +8,17 @@ lower bound of each inner product.
 1. Query blocks scan blocks of cells. Per query and block only rows remain whose
    upper bound reaches the k-th best lower bound there, then, per query, over
    all blocks.
-2. The exact vectors are read in the order of their upper bounds: first the k
-   most promising of each query, then only those rows whose upper bound still
-   reaches the k-th exact score found. No other row can be among the first k.
+2. The exact vectors are read in the order of their upper bounds, in rounds: first the k
+   most promising of each query, then those rows among the next whose upper bound still
+   reaches the k-th exact score found so far, until no bound does. No other row can
+   be among the first k.
 
 Queries are the rows whose id is divisible by ``every``; each block pair is a
 group of bounded size. Sums are exact whole numbers.
 
 Rows: vectors that are null, empty or hold null or non-finite components, or
-have another length than most, take no part; zero vectors do; repeated rows
+have another length than most, take no part, nor do those with a component so large
+(above the root of 2^62 by the length, after scaling) that a score might not fit a long; zero vectors do; repeated rows
 count once; equal scores go to the smaller id; with fewer candidates all are
 returned; an empty table gives an empty result; other columns are ignored.
 """
@@ -36,7 +38,8 @@ from tasador.llm.vectors import nearest_copies, of_one_width, stacked, usable
 from tasador.plans.lineage import cut_lineage, cut_measured
 
 SCALE = 64
-CELLS = 32
+CELLS = 256  # as many as a byte tells apart
+ROUND = 4  # each round reads so many times the vectors of those before
 SAMPLE_ROWS = 20_000
 BLOCK_ROWS = 16_384
 BLOCK_QUERIES = 1024
@@ -133,6 +136,9 @@ def top_products(
         F.col("vec_id").cast("long").alias("vec_id"),
         F.transform(raw, lambda x: F.floor(F.lit(float(scale)) * x)).alias("vector"),
     )
+    # floor() holds what is too large at the largest long, which is above the bound as well
+    largest = F.sqrt(F.lit(2.0**62) / F.size("vector"))
+    rows = rows.where(F.forall("vector", lambda v: (v.cast("double") <= largest) & (v.cast("double") >= -largest)))
     rows = of_one_width(rows.where(F.col("vec_id").isNotNull()))
     cells = spark.sparkContext.broadcast(fit_cells(rows))
 
@@ -184,9 +190,19 @@ def top_products(
         both = with_row.join(queries.select("query_id", F.col("vector").alias("a")), "query_id")
         return both.select("query_id", "vec_id", product.alias("score"))
 
-    first = cut_lineage(exact(open_rows.where(F.col("turn") <= k).select("query_id", "vec_id")), "first")
-    kth = first.groupBy("query_id").agg(F.min("score").alias("sure"))
-    later = open_rows.where(F.col("turn") > k).join(kth, "query_id").where(F.col("high") >= F.col("sure"))
-    scored = first.unionByName(exact(later.select("query_id", "vec_id")))
+    scored = cut_lineage(exact(open_rows.where(F.col("turn") <= k).select("query_id", "vec_id")), "scores")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"))
+    upto = k
+    while True:
+        kth = scored.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k)
+        kth = kth.groupBy("query_id").agg(F.min("score").alias("sure"))
+        open_rows = open_rows.where(F.col("turn") > upto).join(kth, "query_id").where(F.col("high") >= F.col("sure"))
+        open_rows, left = cut_measured(open_rows.drop("sure"), "open", n=F.count(F.lit(1)))
+        if not left["n"]:
+            break
+        upto *= ROUND
+        scored = cut_lineage(
+            scored.unionByName(exact(open_rows.where(F.col("turn") <= upto).select("query_id", "vec_id"))), "scores"
+        )
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
