@@ -1,7 +1,7 @@
 """Line deduplication by a deletion-neighbourhood join, in DataFrame functions only.
 
-A line is a piece of a text between line feeds, trimmed of blanks; empty lines are always
-kept. Of equal lines the earliest stays, in the order of document id and line
+A line is a piece of a text between line feeds, trimmed of blanks, tabs and carriage returns; empty
+lines are always kept. Of equal lines the earliest stays, in the order of document id and line
 number. Of lines with at least ``NEAR_LENGTH`` characters one also goes if an
 earlier line is within one edit (a character replaced, inserted or deleted);
 this looks at all earlier lines, kept or not.
@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from tasador.plans.lineage import cut_lineage
 
-NEAR_LENGTH = 32
+NEAR_LENGTH = 12
+BLANKS = " \t\r"
 WINDOW = 32
 
 
@@ -48,7 +49,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.col(f"`{id_col}`").cast("long").alias("id"),
         *_row_keys(id_col, text_col),
         F.posexplode(F.split(F.col(f"`{text_col}`"), "\n")).alias("n", "raw"),
-    ).select("no_id", "id", "r1", "r2", "n", F.trim("raw").alias("line"))
+    ).select("no_id", "id", "r1", "r2", "n", F.trim("raw", F.lit(BLANKS)).alias("line"))
 
 
 def _place() -> Column:
@@ -182,7 +183,7 @@ def _cleaned(docs: DataFrame, id_col: str, text_col: str, near_length: int) -> D
     lines = F.split(text, "\n")
     told = F.zip_with(lines, "dropped", lambda a, b: F.struct(a.alias("line"), b.alias("drop")))
     kept = F.transform(F.filter(told, lambda x: ~x["drop"]), lambda x: x["line"])
-    blank = F.filter(lines, lambda x: F.trim(x) != "")
+    blank = F.filter(lines, lambda x: F.trim(x, F.lit(BLANKS)) != "")
     gone = F.coalesce(F.size(F.filter("dropped", lambda x: x)), F.lit(0))
     return rows.select(
         "_doc",

@@ -116,7 +116,8 @@ ORACLES: dict[str, str] = {
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
             FROM embeddings
             WHERE embedding IS NOT NULL AND len(embedding) > 0
-                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x)
+                    OR abs(floor(64 * CAST(x AS DOUBLE))) > sqrt(pow(2, 62) / len(embedding)))) = 0
         ), scored AS (
             SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(
                 CAST(q.e AS DOUBLE[]), CAST(v.e AS DOUBLE[])) AS BIGINT) AS score
@@ -133,13 +134,13 @@ ORACLES: dict[str, str] = {
         WITH raw AS (
             SELECT doc_id, text, CAST(unnest(range(len(l))) AS BIGINT) AS n, unnest(l) AS raw
             FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
-        ), lines AS (SELECT doc_id, n, raw, trim(raw, ' ') AS line FROM raw),
+        ), lines AS (SELECT doc_id, n, raw, trim(raw, ' ' || chr(9) || chr(13)) AS line FROM raw),
         firsts AS (
             SELECT line, min(struct_pack(d := doc_id, n := n)) AS place FROM lines WHERE line <> '' GROUP BY line
         ), variants AS (
             SELECT line, place, i, hash(line[1:i - 1] || line[i + 1:]) AS v
-            FROM (SELECT line, place, unnest(range(1, length(line) + 1)) AS i FROM firsts WHERE length(line) >= 32)
-            UNION ALL SELECT line, place, 0, hash(line) FROM firsts WHERE length(line) >= 32
+            FROM (SELECT line, place, unnest(range(1, length(line) + 1)) AS i FROM firsts WHERE length(line) >= 12)
+            UNION ALL SELECT line, place, 0, hash(line) FROM firsts WHERE length(line) >= 12
         ), replaced AS (SELECT v, i, min(place) AS earliest FROM variants WHERE i > 0 GROUP BY v, i),
         whole AS (SELECT v, min(place) AS earliest FROM variants WHERE i = 0 GROUP BY v),
         longer AS (SELECT v, min(place) AS earliest FROM variants WHERE i > 0 GROUP BY v),

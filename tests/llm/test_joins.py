@@ -70,8 +70,11 @@ def test_tree_search(spark):
 def test_approximation_file(spark, monkeypatch):
     monkeypatch.setattr(vafile, "BLOCK_ROWS", 100)
     monkeypatch.setattr(vafile, "BLOCK_QUERIES", 7)
-    frame = _vectors(spark)
-    known = {i: np.floor(64 * v).astype(int) for i, v in _usable(frame, zero=True).items()}
+    large = [(3000, [1e20] + [0.5] * 7, "d"), (3020, [-1e9] * 8, "d"), (3040, [1e6, -1e6] * 4, "d"), (3060, [11e6] * 8, "d")]
+    frame = _vectors(spark).unionByName(spark.createDataFrame(large, "vec_id long, embedding array<float>, score string"))
+    known = {i: np.floor(64 * v) for i, v in _usable(frame, zero=True).items()}
+    known = {i: v.astype(int) for i, v in known.items() if np.abs(v).max() <= np.sqrt(2.0**62 / 8)}
+    assert {3040, 3060} < set(known) and not {3000, 3020} & set(known)
     got = _by_query(vafile.top_products(frame, k=20, every=20))
     assert set(got) == {i for i in known if i % 20 == 0}
     for q, found in got.items():
@@ -201,6 +204,7 @@ def _one_edit(a, b):
 def test_lines(spark):
     rng = random.Random(5)
     pool = ["".join(rng.choices("abé ", k=rng.randrange(3, 90))) for _ in range(40)]
+    pool += ["elevenchars", "elevenchar", "twelve chars", "twelve char.", "twelve chars!"]
     pool += ["aaaa" * 20, "aaaa" * 20 + "a", "x" * 5000, "x" * 4999 + "y", "short", "shorn", ""]
 
     def line():
@@ -212,7 +216,7 @@ def test_lines(spark):
             return text[:at] + text[at + 1 :]
         if kind == 2:
             return text[:at] + "é" + text[at + 1 :]
-        return text + " " * (kind == 4)
+        return text + rng.choice([" ", "\r", " \t"]) * (kind == 4)
 
     rows = [(i * 31 % 211, "\n".join(line() for _ in range(rng.randrange(1, 9))), "s") for i in range(60)]
     rows += [(500, None, "n"), (501, "", "e"), (502, "\n\n", "e"), (503, rows[0][1], "c")]
@@ -222,13 +226,13 @@ def test_lines(spark):
         kept = []
         lines = text.split("\n") if text is not None else []
         for raw in lines:
-            own = raw.strip(" ")
-            near = any(own == x or len(own) >= 32 and len(x) >= 32 and _one_edit(own, x) for x in seen)
+            own = raw.strip(" \t\r")
+            near = any(own == x or len(own) >= 12 and len(x) >= 12 and _one_edit(own, x) for x in seen)
             if own:
                 seen.append(own)
             if not own or not near:
                 kept.append(raw)
-        told = sum(bool(x.strip(" ")) for x in lines)
+        told = sum(bool(x.strip(" \t\r")) for x in lines)
         want[i] = (told, len(lines) - len(kept), None if text is None else "\n".join(kept))
     got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in linededup.dedup_lines(docs).collect()}
     assert got == want
