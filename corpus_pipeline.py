@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tasador.llm import linededup, minhash, packing, quality, secrets
-from tasador.plans.lineage import cut_lineage
+from tasador.plans.lineage import fresh_path, scratch
 
 COPY_PERCENT = 80
 
@@ -53,8 +53,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage in turn, each written as Parquet and read again."""
+    """Every stage in turn, each written as Parquet and read again; what a stage has written besides is removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = cut_lineage(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = fresh_path(spark, name.replace(" ", "-"))
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
