@@ -14,7 +14,8 @@ entropies to the base m, a node's importance is
 ``LEAST`` are removed from each page. What markup itself declares to be menu,
 header, footer, sidebar, notice, advert, form or comments has importance 0, and
 what it declares to be the article or the main part has importance 1, so that
-hosts with few pages, or with many copies of one page, come out right too. If a
+hosts with few pages, or with many copies of one page, come out right too. Names and forms
+that wrap the article or nearly the whole page declare nothing. If a
 page declares a main part or an article, only that is taken, without the branches
 inside it that are below ``LEAST``. Nothing is removed inside a declared part that is
 itself below ``LEAST`` on its host, as the pages then are versions of one article.
@@ -57,7 +58,9 @@ BLOCKS = frozenset(
     " tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NOISE_TAGS = frozenset("head nav footer aside form menu dialog header label legend fieldset".split())
+NOISE_TAGS = frozenset("head nav footer aside menu dialog header".split())
+CONTROL_TAGS = frozenset("form label legend fieldset".split())
+WRAPPER_SHARE, DECLARED_SHARE = 0.8, 0.5
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu".split())
 ENDS_BEFORE = {  # an open element on the left ends where one on the right begins, unless one of the third is between
     "li": (("li",), ("ul", "ol", "menu")),
@@ -81,9 +84,10 @@ _NOISE_NAME = re.compile(
     r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?"
     r"|sidebar|side-?bar|footer|masthead|site-?header|page-?header|cookies?|consent|notices?|newsletter|subscribe"
     r"|popup|modal|overlay|share|sharing|social|related|recommend\w*|comments?|comment-?list|disqus|replies|reply"
-    r"|login|signup|search|pagination|pager|toolbar|widgets?|skip-?links?)(?:$|[-_\s])",
+    r"|responses?|ad-?box|gdpr|top-?bar|login|signup|search|pagination|pager|toolbar|widgets?|skip-?links?)(?:$|[-_\s])",
     re.I,
 )
+_STATE = re.compile(r"(?:has|no|not|with|without|is|hide|show)[-_]", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|$|=)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _DIGITS = re.compile(r"\d+")
 
@@ -93,7 +97,11 @@ PARSED = (
 
 
 def _node(tag: str, attrs: str, kept: bool) -> tuple[str, str]:
-    """A node's name in the tree and what its markup declares: noise, main, article or nothing."""
+    """A node's name in the tree and what its markup declares: noise, doubtful, main, article or nothing.
+
+    Names and forms are doubtful: they are judged by what is below them. Words such as ``has-sidebar`` or
+    ``no-comments`` tell the state of a part, not what it is.
+    """
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attrs)} if attrs else {}
     names = f"{found.get('class', '')} {found.get('id', '')}".strip()
     name = tag
@@ -104,15 +112,51 @@ def _node(tag: str, attrs: str, kept: bool) -> tuple[str, str]:
         return name, ""
     if attrs and _HIDDEN.search(attrs):
         return name, "noise"
-    if names and tag not in ("h1", "main") and _NOISE_NAME.search(names):
-        return name, "noise"
+    own = " ".join(n for n in names.split() if not _STATE.match(n))
+    if own and tag not in ("h1", "main") and _NOISE_NAME.search(own):
+        return name, "doubtful"
     if tag == "main" or role == "main":
         return name, "main"
     if tag == "article" or role == "article" or found.get("itemprop", "").lower() == "articlebody":
         return name, "article"
     if role in NOISE_ROLES or tag in NOISE_TAGS and not (kept and tag == "header"):
-        return name, "noise"
-    return name, ""
+        return name, "doubtful" if tag == "form" or role in ("form", "search") else "noise"
+    return name, "doubtful" if tag in CONTROL_TAGS else ""
+
+
+def _settled(blocks: list[dict], looks: dict[str, list[str]]) -> tuple[list[dict], dict[str, list[str]]]:
+    """Doubtful nodes (``?``) become noise (``!``), unless they wrap what the page is about.
+
+    A page with a main part or an article outside of them needs none of them. Elsewhere a
+    doubtful node is a plain one if it holds a first heading or ``WRAPPER_SHARE`` of the page's text
+    that is no noise; half of it is enough around a main part or an article.
+    """
+    paths = [b["path"] for b in blocks]
+    noise = re.compile("/[!?]")
+    while not any(re.search("/[=+]", p) and not noise.search(p) for p in paths):
+        sizes: dict[str, int] = {}
+        holds: dict[str, str] = {}
+        total = 0
+        for p, b in zip(paths, blocks):
+            if "/!" in p:
+                continue
+            total += len(b["text"])
+            if "/?" in p:
+                end = p.find("/", p.index("/?") + 1)
+                outer = p if end < 0 else p[:end]
+                sizes[outer] = sizes.get(outer, 0) + len(b["text"])
+                holds[outer] = holds.get(outer, "") + p[len(outer) :] + "/"
+        enough = {p: DECLARED_SHARE if re.search("/[=+]", below) else WRAPPER_SHARE for p, below in holds.items()}
+        freed = [p for p in sizes if re.search(r"/h1[./]", holds[p]) or sizes[p] >= enough[p] * total]
+        if not freed:
+            break
+        for old in freed:
+            new = old.replace("/?", "/")
+            again = lambda p, old=old, new=new: new + p[len(old) :] if p == old or p.startswith(f"{old}/") else p
+            paths = [again(p) for p in paths]
+            looks = {again(p): names for p, names in looks.items()}
+    blocks = [{**b, "path": p.replace("/?", "/!")} for b, p in zip(blocks, paths)]
+    return blocks, {p.replace("/?", "/!"): names for p, names in looks.items()}
 
 
 def parse(page: str | None) -> tuple[list[dict], list[dict]]:
@@ -137,7 +181,7 @@ def parse(page: str | None) -> tuple[list[dict], list[dict]]:
             held = []
 
     def close(count: int) -> None:
-        if held and "/!" in held_path:
+        if held and ("/!" in held_path or any("/?" in p[p.rfind("/") :] for p in paths[len(paths) - count :])):
             flush()  # noise inside a line ends there
         del open_tags[len(open_tags) - count :], paths[len(paths) - count :]
 
@@ -181,15 +225,19 @@ def parse(page: str | None) -> tuple[list[dict], list[dict]]:
                 close_until(*ENDS_BEFORE[tag])
         parent = paths[-1] if paths else ""
         name, kind = _node(tag, m["attrs"], "/=" in parent or "/+" in parent)
-        if kind == "noise":
+        if kind == "doubtful" and tag in ("label", "legend", "fieldset") and "form" not in open_tags:
+            kind = ""  # controls stand in forms, words of a sentence do not
+        if kind in ("noise", "doubtful"):
             flush()
         looks.setdefault(parent, []).append(name)
         if tag not in VOID and not m["attrs"].endswith("/"):
             open_tags.append(tag)
-            paths.append(f"{parent}/{ {'noise': '!', 'main': '=', 'article': '+'}.get(kind, '') }{name}")
+            paths.append(f"{parent}/{ {'noise': '!', 'doubtful': '?', 'main': '=', 'article': '+'}.get(kind, '') }{name}")
     if page and at < len(page):
         say(page[at:])
     flush()
+    if any("/?" in path for path in looks) or any("/?" in b["path"] for b in blocks):
+        blocks, looks = _settled(blocks, looks)
     laid = []
     for path, names in looks.items():
         runs = [n for i, n in enumerate(names) if not i or names[i - 1] != n]

@@ -151,6 +151,15 @@ PAGES = [
     ("", ""),
     (None, ""),
     ("<p>" + "word " * 50_000, " ".join(["word"] * 50_000)),
+    # names and forms around the article declare nothing
+    ("<div class='wrap has-sidebar'><nav>n</nav><h1>T</h1><p>some text</p><div class=sidebar>s</div></div>", "T\nsome text"),
+    ("<article class='post no-comments'><p>some text</p></article><div class=comments>c</div>", "some text"),
+    ("<form id=f><div class=menu>m</div><h1>T</h1><p>text</p><fieldset><legend>L</legend></fieldset></form>", "T\ntext"),
+    ("<div class='site social'><p>long text of a page without any heading</p></div>x", "long text of a page without any heading\nx"),
+    ("<article><p>one <label>two</label> three</p><form><label>Mail</label>me</form></article>", "one two three"),
+    ("<div><p>the text</p></div><div class=responses>r</div><div class=adbox>a</div><p class=gdpr>g</p><div id=topbar>t</div>", "the text"),
+    ("<div><p>the text of it</p></div><div class=related><article>teaser</article></div>", "the text of it"),
+    ("<article>text</article><div class=comments><article>a long reader comment, longer than all</article></div>", "text"),
 ]
 
 
@@ -175,6 +184,16 @@ def test_style_tree_finds_what_a_site_repeats(spark):
         assert got[100 + i] == "HomeShop\nText 0.\nCall us"
 
 
+def test_hosts_with_noise_like_wrappers(spark):
+    """The wrapper stays on every page, what the host repeats inside it goes."""
+    page = "<body><div class='page has-sidebar'><div class=promoted>Buy our book</div><h1>About {0}</h1><p>Text {0}.</p><div class=x7>Write us</div></div>"
+    shop = "<body><form id=aspnetForm><div class=top>Home Shop</div><h1>Thing {0}</h1><p>It is {0}.</p><div class=low>Call us</div></form>"
+    rows = [(i, "http://news.example/", page.format(i)) for i in range(9)] + [(100 + i, "http://shop.example/", shop.format(i)) for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in sitestyle.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(9):
+        assert got[i] == f"About {i}\nText {i}." and got[100 + i] == f"Thing {i}\nIt is {i}."
+
+
 def test_what_a_site_repeats_inside_articles_goes(spark):
     page = (
         "<body><p>Top</p><article><h1>Title {0}</h1><p>Text {0}.</p><div class=offer><p>Order our magazine</p></div>"
