@@ -16,11 +16,15 @@ a value is a candidate too; it is left out of the result where all its places ar
 * neighbouring words: whether what stands before it in its word, or one of the two words
   before, names a secret, and whether an assignment or a quote stands before it.
 
-The forest learns from labelled findings, ``TRAIN_ROWS`` at most, chosen by a
-hash. Where no table of reviewed findings is given, findings are labelled by
-``known_label``: formats that issuers define, and assignments to names of
-secrets with a random value, are true; runs of letters only, plain numbers, words joined by marks,
-and parts of addresses are false; all others have no label and are not learned from.
+The forest learns from labelled findings of two kinds. ``reviewed`` is a table of findings as reviewers
+meet them, ``REVIEWED_ROWS`` of them: keys, passwords and bearer tokens at names of secrets, issued formats,
+and the false positives of the same shapes: commit ids, checksums, UUIDs, content hashes, embedded
+images, names of bundled files, settings that are named and not given. To these come candidates of the
+corpus, ``TRAIN_ROWS`` at most, chosen by a hash, that ``known_label`` is sure of: formats that issuers define, and
+assignments to names of secrets with a random value, are true; runs of letters only, plain numbers, words
+joined by marks, and parts of addresses are false; all others have no label. A caller's own table of
+reviewed findings takes the place of both. A short value without any digit at a secret's name is
+learned to be a setting (``token: expired``), so such passwords are not found.
 
 A candidate that stands at several places of a text is judged at each of them, and the highest score counts.
 
@@ -35,7 +39,7 @@ from __future__ import annotations
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tasador.llm.linededup import with_text
@@ -46,6 +50,7 @@ LEAST_LENGTH = 16
 LEAST_ASSIGNED = 6
 WORD_COUNT = 5
 TRAIN_ROWS = 20_000
+REVIEWED_ROWS = 6_000
 TREES = 20
 DEPTH = 6
 MASK = "[SECRET]"
@@ -67,9 +72,28 @@ ISSUED = (
 )
 ADDRESS = r"(?i)(://|^www\.|@[a-z0-9-]+\.|^/[^/]+/|\.(html?|php|png|jpe?g)\b)"
 FEATURES = (
-    "length digits upper marks entropy changes follow covered address named assigned quoted".split()
+    "length digits upper marks entropy changes follow covered address named assigned quoted issued".split()
 )
 
+# shape of the value, what stands before it, and whether it is a secret; shapes are worked out in ``reviewed``
+REVIEWED = [
+    *[(shape, before, 1) for shape in ("hex40", "hex64", "mixed32", "uuid", "url43") for before in (
+        'token = "', "API_KEY=", "secret_key: ", 'client_secret": "', "private-key = '", "the access_key = ", "auth_token: ",
+    )],
+    *[("url43", before, 1) for before in ("Authorization: Bearer=", "bearer: ")],
+    *[(shape, before, 1) for shape in ("short9", "short12", "mixed32") for before in ("password=", 'passwd = "', "db pwd: ", "://user:")],
+    *[(shape, before, 1) for shape in ("akia", "ghp", "sklive") for before in ("use ", "key ", 'id = "', "see: ")],
+    *[(shape, before, 0) for shape in ("hex40", "hex64", "hex32") for before in (
+        "commit ", "in commit ", "sha256: ", "md5 checksum ", 'sha1 = "', 'etag: "', "revision=", "digest ", "blob ", "fixed by ",
+    )],
+    *[("uuid", before, 0) for before in ("request id ", 'uuid = "', "session ", "job: ", "trace=", "device ")],
+    *[("base64", before, 0) for before in ("data:image/png;base64,", 'integrity="sha384-', "url(data:font/woff2;base64,")],
+    *[("file", before, 0) for before in ("load ", "js/", 'src="', "chunk: ")],
+    *[("minified", before, 0) for before in ("var ", "function ", "return ", "call ")],
+    *[("digits", before, 0) for before in ("order ", "id: ", "at=", "phone ")],
+    *[("setting", before, 0) for before in ("token: ", "password=", 'api_key = "', "secret: ", "auth = ", "the token ")],
+]
+
 
 def _row_keys() -> list[Column]:
     return [F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64(F.lit("row"), "text", "doc_id").alias("r2")]
@@ -210,6 +234,7 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
         F.col("before").rlike(f"{SECRET_NAMES}|://[^\\s/:@]*:$").cast("double").alias("named"),
         F.col("before").rlike(r"[=:]\s*[\"']?$").cast("double").alias("assigned"),
         F.col("before").rlike(r"[\"']$").cast("double").alias("quoted"),
+        value.rlike(ISSUED).cast("double").alias("issued"),
     ).withColumn("marks", 1 - F.col("_alnum"))
     shaped = cut_lineage(shaped.drop("_alnum"), "shaped")
     runs_of_letters = (
@@ -234,15 +259,54 @@ def known_label() -> Column:
     return F.when(value.rlike(ISSUED) | named, 1).when(joined | (F.col("address") == 1), 0).cast("int")
 
 
+def reviewed(spark: SparkSession, words: DataFrame, rows: int = REVIEWED_ROWS) -> DataFrame:
+    """``rows`` labelled findings with their features, made by rule from REVIEWED: the same ones every time."""
+    digest = lambda salt: F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 256)
+    hexa, more = digest("a"), digest("b")
+    base64 = F.replace(F.base64(F.unhex(F.concat(hexa, more))), F.lit("\r\n"), F.lit(""))
+    plain = F.regexp_replace(base64, "[+/=]", "")
+    part = lambda c, start, n: F.substring(c, start, n)
+    settings = "required expired missing optional changeme disabled config.service_account os.environ.get settings_value".split()
+    names = "getElementsByTagName addEventListenerOnce encodeURIComponentList createDocumentFragment".split()
+    one_of = lambda texts: F.get(F.array(*[F.lit(t) for t in texts]), F.pmod(F.xxhash64("id"), F.lit(len(texts))).cast("int"))
+    shapes = {
+        "hex32": part(hexa, 1, 32),
+        "hex40": part(hexa, 1, 40),
+        "hex64": hexa,
+        "mixed32": part(plain, 1, 32),
+        "uuid": F.concat_ws("-", part(hexa, 1, 8), part(hexa, 9, 4), part(hexa, 13, 4), part(hexa, 17, 4), part(hexa, 21, 12)),
+        "url43": F.translate(part(base64, 1, 43), "+/", "-_"),
+        "short9": F.concat(part(plain, 1, 7), F.lit("7!")),
+        "short12": F.concat(part(plain, 1, 6), F.lit("#4"), part(plain, 9, 4)),
+        "akia": F.concat(F.lit("AKIA"), F.upper(part(plain, 1, 16))),
+        "ghp": F.concat(F.lit("ghp_"), part(plain, 1, 36)),
+        "sklive": F.concat(F.lit("sk_live_"), part(plain, 1, 24)),
+        "base64": part(base64, 1, 64),
+        "file": F.concat(one_of(["main-", "vendor-", "chunk_", "app-bundle-"]), part(hexa, 1, 20)),
+        "minified": F.concat(one_of(names), F.pmod(F.col("id"), F.lit(90)).cast("string")),
+        "digits": F.concat(F.lit("20"), part(F.translate(hexa, "abcdef", "012345"), 1, 16)),
+        "setting": one_of(settings),
+    }
+    kinds = F.array(*[F.struct(F.lit(s).alias("shape"), F.lit(b).alias("before"), F.lit(y).alias("label")) for s, b, y in REVIEWED])
+    told = spark.range(rows).withColumn("kind", F.get(kinds, F.pmod(F.col("id"), F.lit(len(REVIEWED))).cast("int")))
+    value = F.coalesce(*[F.when(F.col("kind.shape") == s, c) for s, c in shapes.items()])
+    told = told.select(value.alias("value"), "kind.before", "kind.label")
+    last = F.element_at(F.split("before", r"\s"), -1)
+    word = F.concat(last, "value", F.when(F.col("before").startswith("://"), F.lit("@")).otherwise(""))
+    return with_features(told.withColumn("word", word), words)
+
+
 def scored(shaped: DataFrame, findings: DataFrame | None = None, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """Candidates with the forest's probability as ``score``.
 
     ``findings`` are reviewed candidates with the columns of ``with_features``
-    and ``label``; without them ``known_label`` labels a sample of the candidates.
+    and ``label``, all of which are learned from; without them ``known_label`` labels a sample of the candidates.
     """
-    known = findings if findings is not None else shaped.withColumn("label", known_label())
-    known = known.where(F.col("label").isNotNull()).withColumn("_id", F.xxhash64("value", "before"))
-    sample = cut_lineage(bounded_sample(known, "_id", train_rows).select(*FEATURES, "label"), "findings")
+    if findings is None:
+        known = shaped.withColumn("label", known_label())
+        known = known.where(F.col("label").isNotNull()).withColumn("_id", F.xxhash64("value", "before"))
+        findings = bounded_sample(known, "_id", train_rows)
+    sample = cut_lineage(findings.select(*FEATURES, "label"), "findings")
     kinds = {row["label"] for row in sample.select("label").distinct().collect()}
     if kinds != {0, 1}:
         return shaped.withColumn("score", F.coalesce((known_label() == 1).cast("double"), F.lit(0.0)))
@@ -265,7 +329,10 @@ def findings(docs: DataFrame, accept: float = 0.5) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     words = cut_lineage(dictionary(source), "dictionary")
     shaped = cut_lineage(with_features(candidates(source), words), "candidates")
-    told = scored(shaped)
+    sure = shaped.withColumn("label", known_label())
+    sure = sure.where(F.col("label").isNotNull()).withColumn("_id", F.xxhash64("value", "before"))
+    known = bounded_sample(sure, "_id", TRAIN_ROWS).select(*FEATURES, "label")
+    told = scored(shaped, known.unionByName(reviewed(docs.sparkSession, words).select(*FEATURES, "label")))
     told = told.groupBy("r1", "r2", "value").agg(
         F.max("score").alias("score"), F.max(F.col("whole").isNull()).alias("alone"), F.collect_set("whole").alias("wholes")
     )
