@@ -133,15 +133,20 @@ def histogram(df: DataFrame, col: str, bins: int = 30, by: Sequence[str] = ()) -
 def int_histogram(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     """``(by..., value, n)``: one bin per whole number from least to greatest, gaps count 0.
 
-    The numbers are made in stretches of ``STRETCH``, so a far-off value makes many rows but no
-    long array.
+    The numbers are made in stretches of ``STRETCH`` and these in stretches again, so a far-off
+    value makes many rows but no long array.
     """
     rows, key = _grouped(df, col, by)
     counts = rows.groupBy(*key, F.floor("x").alias("value")).agg(F.count("*").alias("n"))
     counts = cut_lineage(counts, "counts")
     span = counts.groupBy(*key).agg(F.min("value").alias("a"), F.max("value").alias("b"))
     first, last = F.floor(F.col("a") / STRETCH), F.floor(F.col("b") / STRETCH)
-    part = span.select(*key, "a", "b", F.explode(F.sequence(first, last)).alias("part"))
+    far = F.explode(F.sequence(F.floor(first / STRETCH), F.floor(last / STRETCH)))
+    span = span.select(*key, "a", "b", first.alias("first"), last.alias("last"), far.alias("far"))
+    near = F.sequence(
+        F.greatest("first", F.col("far") * STRETCH), F.least("last", F.col("far") * STRETCH + (STRETCH - 1))
+    )
+    part = span.select(*key, "a", "b", F.explode(near).alias("part"))
     start, end = F.col("part") * STRETCH, F.col("part") * STRETCH + (STRETCH - 1)
     every = part.select(*key, F.explode(F.sequence(F.greatest("a", start), F.least("b", end))).alias("value"))
     return (
