@@ -190,15 +190,15 @@ def kde(
     )
     spans, found = cut_measured(spans, "spans", rows=F.count("*"))
     side = F.col("h") * BOX
-    centre = F.col("lo") + (F.col("box") + 0.5) * side
+    centre = F.col("lo") + (F.col("_box") + 0.5) * side
     t = (x - centre) / (F.col("h") * math.sqrt(2))
     boxes = (
         sized_join(rows, spans, found, key, salt=["x"])
-        .withColumn("box", F.floor((x - F.col("lo")) / side))
-        .withColumn("t", t)
-        .groupBy(*key, "box")
+        .withColumn("_box", F.floor((x - F.col("lo")) / side))
+        .withColumn("_t", t)
+        .groupBy(*key, "_box")
         .agg(
-            F.array(*[F.sum(F.pow("t", F.lit(k)) / math.factorial(k)) for k in range(TERMS)]).alias("moments"),
+            F.array(*[F.sum(F.pow("_t", F.lit(k)) / math.factorial(k)) for k in range(TERMS)]).alias("_moments"),
             *[F.first(c).alias(c) for c in ("total", "lo", "hi", "h")],
         )
     )
@@ -210,15 +210,15 @@ def kde(
     met = boxes.where(first <= last).withColumn("point", F.explode(F.sequence(first, last)))
     at = F.col("lo") + F.col("point") * step
     sums = (
-        met.withColumn("s", (at - centre) / (F.col("h") * math.sqrt(2)))
-        .withColumn("g", F.exp(-F.col("s") * F.col("s")))
-        .withColumn("part", _expansion())
+        met.withColumn("_s", (at - centre) / (F.col("h") * math.sqrt(2)))
+        .withColumn("_g", F.exp(-F.col("_s") * F.col("_s")))
+        .withColumn("_part", _expansion())
         .groupBy(*key, "point")
-        .agg(F.sum("part").alias("s"))
+        .agg(F.sum("_part").alias("_sum"))
     )
     every = spans.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
     sums = every.join(sums, [*key, "point"], "left")
-    density = F.greatest(F.coalesce("s", F.lit(0.0)), F.lit(0.0)) / (F.col("total") * F.col("h") * math.sqrt(2 * math.pi))
+    density = F.greatest(F.coalesce("_sum", F.lit(0.0)), F.lit(0.0)) / (F.col("total") * F.col("h") * math.sqrt(2 * math.pi))
     width = (F.col("hi") - F.col("lo")) / bins
     return sums.select(
         *by,
@@ -230,17 +230,17 @@ def kde(
 
 
 def _expansion() -> Column:
-    """Sum of moments times Hermite functions at ``s``; ``g`` is the first of them."""
+    """Sum of moments times Hermite functions at ``_s``; ``_g`` is the first of them."""
     start = F.struct(
-        F.lit(0.0).alias("before"), F.col("g").alias("now"), (F.get("moments", 0) * F.col("g")).alias("sum")
+        F.lit(0.0).alias("before"), F.col("_g").alias("now"), (F.get("_moments", 0) * F.col("_g")).alias("sum")
     )
 
     def term(acc: Column, k: Column) -> Column:
-        following = 2 * F.col("s") * acc["now"] - 2 * (k - 1) * acc["before"]
+        following = 2 * F.col("_s") * acc["now"] - 2 * (k - 1) * acc["before"]
         return F.struct(
             acc["now"].alias("before"),
             following.alias("now"),
-            (acc["sum"] + F.get("moments", k) * following).alias("sum"),
+            (acc["sum"] + F.get("_moments", k) * following).alias("sum"),
         )
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(TERMS - 1)), start, term, lambda acc: acc["sum"])

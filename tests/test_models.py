@@ -142,3 +142,33 @@ def test_estimate_weighs_the_models_that_have_a_value(spark, listings):
 def test_weights_of_a_model_without_error(spark):
     metrics = spark.createDataFrame([("a", 0.0), ("b", 2.0), ("c", None)], "model string, mse double")
     assert models.weights_from(metrics) == {"a": 1.0, "b": 0.0, "c": 0.0}
+
+
+def test_models_of_one_preparation_share_the_encoder(spark, listings):
+    grids = {"forest": {"numTrees": [4], "maxDepth": [4], "minSplit": [10]}, "boosting": {"maxIter": [3], "maxDepth": [3]}}
+    fitted, metrics = models.train_models(listings, ["forest", "boosting"], grids, {"forest": {"maxDepth": 4}}, draws=1)
+    assert fitted["forest"].encoder is fitted["boosting"].encoder
+    assert {r["model"] for r in metrics.collect()} == {"forest", "boosting"}
+    scored = models.score_listings(listings, fitted, {"forest": 0.5, "boosting": 0.5})
+    for name, one in fitted.items():
+        alone = models.score_listings(listings, {name: one}, {name: 1.0}).select("id", F.col("estimate").alias("alone"))
+        both = scored.select("id", f"pred_{name}").join(alone, "id")
+        assert both.where(~F.col(f"pred_{name}").eqNullSafe(F.col("alone"))).isEmpty()
+
+
+def test_kernel_features_fold_in_mean_and_scale(spark):
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    from tasador.functions.kernels import KernelFeatures
+
+    x = np.array([[1.0, 0.0, 0.0, 5.0], [0.0, 2.0, 0.0, 5.0], [3.0, 0.0, 0.0, 5.0], [0.0, 0.0, 0.0, 5.0]])
+    vectors = [(0, Vectors.dense(x[0])), *[(i, Vectors.sparse(4, {j: v for j, v in enumerate(x[i]) if v})) for i in (1, 2)], (3, Vectors.sparse(4, {3: 5.0}))]
+    df = spark.createDataFrame(vectors, ["i", "features"])
+    model = KernelFeatures(gamma=0.5, components=6, seed=3).fit(df)
+    got = np.stack([r["kernel"].toArray() for r in model.transform(df).orderBy("i").collect()])
+    deviation = x.std(axis=0, ddof=1)
+    z = np.divide(x - x.mean(axis=0), deviation, out=np.zeros_like(x), where=deviation > 0)
+    rng = np.random.default_rng(3)
+    weights, shift = rng.normal(0.0, 1.0, (4, 6)), rng.uniform(0.0, 2 * np.pi, 6)
+    assert np.allclose(got, np.sqrt(2 / 6) * np.cos(z @ weights + shift))

@@ -279,12 +279,6 @@ def test_kde_stays_within_its_bound(spark, spread):
     assert np.abs(sums - exact).max() < 1e-9 * len(own)
 
 
-def test_kde_shuffles_boxes_not_points(spark):
-    df = spark.range(5000).selectExpr("CAST(id % 977 AS DOUBLE) AS x")
-    plan = stats.kde(df, "x", grid=50)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("explode(sequence(0, 49") == 1, "only the empty grid is written out, values are not"
-
-
 def test_shares_and_rooms(spark):
     df = spark.createDataFrame([("x", "a", 1), ("x", "a", 1), ("x", "b", 3), ("x", None, None)], "g string, c string, r int")
     shares = {r["c"]: r["pct"] for r in stats.value_share(df, "c", ["g"]).collect()}
