@@ -1,5 +1,6 @@
 """Model preparation, scores and persistence."""
 
+import numpy as np
 import pytest
 from conftest import SF
 from pyspark.ml import Pipeline
@@ -172,3 +173,30 @@ def test_kernel_features_fold_in_mean_and_scale(spark):
     rng = np.random.default_rng(3)
     weights, shift = rng.normal(0.0, 1.0, (4, 6)), rng.uniform(0.0, 2 * np.pi, 6)
     assert np.allclose(got, np.sqrt(2 / 6) * np.cos(z @ weights + shift))
+
+
+def test_kernel_features_of_mixed_vectors(spark):
+    """Dense, sparse and empty vectors in one batch of several chunks, by the formula; each row's width is the components'."""
+    from pyspark.ml.linalg import Vectors
+
+    from tasador.functions import kernels
+
+    given = [Vectors.dense(i % 7, 1.0, -i) if i % 3 == 0 else Vectors.sparse(3, [1], [float(i)]) if i % 3 == 1 else Vectors.sparse(3, [], []) for i in range(2500)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(given)], ["id", "features"]).coalesce(1)
+    own = kernels.RandomFourierFeatures(gamma=0.3, components=5, seed=3, mean=[1.0, 2.0, 3.0], scale=[0.5, 0.1, 0.01])
+    told = [r["kernel"].toArray() for r in own.transform(df).orderBy("id").collect()]
+    rng = np.random.default_rng(3)
+    weights = rng.normal(0.0, np.sqrt(0.6), (3, 5)) * np.array([0.5, 0.1, 0.01])[:, None]
+    shift = rng.uniform(0.0, 2 * np.pi, 5) - np.array([1.0, 2.0, 3.0]) @ weights
+    want = np.sqrt(2 / 5) * np.cos(np.stack([v.toArray() for v in given]) @ weights + shift)
+    assert np.allclose(told, want, atol=1e-12)
+
+
+def test_training_parts_are_bounded(spark):
+    """More partitions for more rows, and the same rows; few rows stay where they are."""
+    rows = spark.range(1000, numPartitions=2)
+    spread = models.in_parts(rows, part_rows=100)
+    sizes = [r["n"] for r in spread.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert spread.rdd.getNumPartitions() == 10 and max(sizes) <= 200
+    assert sorted(r["id"] for r in spread.collect()) == list(range(1000))
+    assert models.in_parts(rows, part_rows=1000).rdd.getNumPartitions() == 2
