@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tasador.llm import linededup, minhash, packing, quality, secrets
-from tasador.plans.lineage import fresh_path, scratch
+from tasador.plans.lineage import cut_lineage, fresh_path, scratch  # noqa: F401  stages are cut by callers, too
 
 COPY_PERCENT = 80
 
